@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, packing, shards, urlfilter, warc
+from . import bpe, jaccard, linededup, media, packing, shards, topk, toxicity, urlfilter, warc
 
 #: (action, host, path)
 URL_RULES = [
@@ -38,10 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, least=85, of=100)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
@@ -50,10 +59,18 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("longest_run")
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -69,6 +86,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LETTERS = f"'{urlfilter.UPPER}', '{urlfilter.LOWER}'"
 
 ORACLES = {
+    "op1_top_k_inner_product": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT g.doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(reached) FROM r WHERE r.doc_id = g.doc_id) AS component_id FROM g""",
+    "op8_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ln FROM l WHERE regexp_matches(line, '\S')),
+w AS (SELECT *, lead(line) OVER d AS following FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
+f AS (SELECT doc_id, pos, ln, len(regexp_split_to_array(trim(line, ' '), ' +')) >= 10 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, ln) > 1 AS single,
+  following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, ln) > 1 AS pair FROM w),
+m AS (SELECT doc_id, pos, single OR pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY ln), FALSE) AS gone FROM f),
+k AS (SELECT l.doc_id, l.pos, l.line, m.gone AS marked, coalesce(last_value(m.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos), FALSE) AS gone FROM l LEFT JOIN m ON l.doc_id = m.doc_id AND l.pos = m.pos),
+o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (marked) AS n_deleted FROM k GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text,
+  (CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE n_lines END)::INTEGER AS n_lines, coalesce(n_deleted, 0)::INTEGER AS n_deleted FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id""",
     "op7_warc_archives": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 s AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),

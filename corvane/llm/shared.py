@@ -36,10 +36,17 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return self._read(path, df.schema)
+
+    def _read(self, path: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         out._corvane_path = path
         return out
 
+    def again(self, table: DataFrame) -> DataFrame:
+        """The same table read once more, so that it can be joined with itself."""
+        return self._read(table._corvane_path, table.schema)
+
     def drop(self, *tables: DataFrame | str) -> None:
         """Deletes tables that nothing reads any more."""
         for table in tables:

@@ -1,4 +1,318 @@
-"""The registered queries over the test tables and the SQL they are compared with."""
+"""The registered queries over the test tables, each over its whole tables, and the SQL they are compared with."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import text as T
+from corvane.operators import audit, catalog, chapters, chunking, dialogue, graph, pages, publish, timeline
+from corvane.sources import readers
+
+NOW = "2024-02-01 00:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as scripts: a conversation is an episode, a turn a line, a role a speaker."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("episode"), F.col("turn").alias("line_no"), F.col("role").alias("speaker"), F.col("text"), F.concat(F.lit("voice-"), "role").alias("voice"))
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.plan_segments(script_lines(spark, sf_dir), "edge")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.timeline(_planned(spark, sf_dir).withColumn("duration_ms", timeline.estimated_ms(F.col("text"))))
+
+
+def q_timeline(spark, sf_dir):
+    return _timed(spark, sf_dir).select("episode", "line_no", "speaker", "chars", "gap_ms", "start_ms", "end_ms")
+
+
+def q_chapter_markers(spark, sf_dir):
+    marked = _timed(spark, sf_dir).withColumn("chapter", F.when(F.col("speaker") == "user", F.substring("text", 1, 40)))
+    return timeline.chapter_markers(marked)
+
+
+def q_chapter_in_force(spark, sf_dir):
+    marked = script_lines(spark, sf_dir).withColumn("chapter", F.when(F.col("speaker") == "user", F.substring("text", 1, 40)))
+    return timeline.chapter_in_force(marked).select("episode", "line_no", "in_chapter")
+
+
+def q_segment_plan(spark, sf_dir):
+    return _planned(spark, sf_dir).select("episode", "line_no", "voice", "chars", "hash", "file")
+
+
+def q_segment_reuse(spark, sf_dir):
+    plan = _planned(spark, sf_dir)
+    rendered = plan.select("episode", "line_no", "hash", F.when(F.col("line_no") % 3 == 0, 0).otherwise(F.col("chars")).alias("size"))
+    return dialogue.reuse(plan, rendered).groupBy("episode").agg(F.count("*").alias("n"), F.count_if("cached").alias("n_cached"))
+
+
+def q_render_cost(spark, sf_dir):
+    return dialogue.cost(_planned(spark, sf_dir), "openai")
+
+
+def q_speaker_share(spark, sf_dir):
+    return dialogue.speaker_share(script_lines(spark, sf_dir))
+
+
+def q_length_budget(spark, sf_dir):
+    return dialogue.length_budget(script_lines(spark, sf_dir), 1500, 5500)
+
+
+def q_questions(spark, sf_dir):
+    return dialogue.questions(script_lines(spark, sf_dir), "user", 1)
+
+
+def q_speaker_runs(spark, sf_dir):
+    return timeline.speaker_runs(_planned(spark, sf_dir).withColumn("duration_ms", timeline.estimated_ms(F.col("text"))))
+
+
+def q_line_violations(spark, sf_dir):
+    return dialogue.line_violations(script_lines(spark, sf_dir)).filter("rule in ('empty_text', 'line_short', 'line_long', 'markdown')").select("episode", "line_no", "rule")
+
+
+def q_language(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    found = d.select("doc_id", T.detect_language(F.col("text")).alias("l"))
+    return found.select("doc_id", F.col("l.code").alias("code"), F.col("l.name").alias("name"), F.col("l.confidence").alias("confidence"))
+
+
+def q_catalog_matches(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.title_key(F.col("text"), normalize=False).alias("item_key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.title_key(F.col("text"), normalize=False).alias("doc_key"))
+    return catalog.containment_pairs(docs, items, "doc_id", "doc_key", "item_id", "item_key")
+
+
+def q_candidate_status(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    labels = table(spark, sf_dir, "labels")
+    flags = {"已建库": labels.filter("quality = 1"), "本地已完成": labels.filter("toxic = 1"), "已在书架": d.filter("source = 'src3'")}
+    return catalog.candidate_status(d, flags, "doc_id").select("doc_id", "status")
+
+
+def q_title_keys(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return p.select("page_id", T.title_key(title, normalize=False).alias("title_key"))
+
+
+def q_last_event(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return catalog.last_wins(e, "user_id", "event_id")
+
+
+def q_running_heads(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return pages.running_heads(d.withColumn("text", F.concat(F.concat(F.lit("Volume "), "source"), F.lit("\n"), "text")), "source").filter("kind = 'head'").select("book", "line", "n")
+
+
+def q_sufficiency(spark, sf_dir):
+    return pages.sufficiency(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_text", "sufficient")
+
+
+def q_joined_books(spark, sf_dir):
+    books = pages.join_pages(table(spark, sf_dir, "documents"), "source", "doc_id")
+    return books.select("source", F.length("text").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("sha1"), audit.episode_count(F.length("text")).alias("episodes"))
+
+
+def q_html_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", readers.html_parts("html").alias("h"))
+    return p.select("page_id", F.col("h.title").alias("title"), F.col("h.headings").alias("headings"), F.length("h.text").alias("n_chars"))
+
+
+def q_html_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", readers.html_parts("html").alias("h"))
+    return p.select("page_id", F.regexp_replace("h.title", "&", "&amp;").alias("title"))
+
+
+def q_image_urls(spark, sf_dir):
+    return readers.image_urls(table(spark, sf_dir, "pages"))
+
+
+def q_readability(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", pages.readability(F.col("html"), "track\\(\\d*[05]\\)", "page=2|<nav>").alias("verdict"))
+
+
+def q_clean_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.clean_text(F.col("text"), F.col("lang")).alias("t"), "lang").select("doc_id", F.length("t").alias("n_chars"), F.sha1(F.col("t").cast("binary")).alias("sha1"), T.reading_minutes(F.col("t"), F.col("lang")).alias("minutes"))
+
+
+def q_reading_minutes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.reading_minutes(F.col("text"), F.col("lang")).alias("minutes"))
+
+
+def q_sentences(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", T.split_sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").alias("n_sentences"), F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+def _chunks(spark, sf_dir):
+    books = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.lit(1).alias("index"), F.lit(chapters.WHOLE).alias("title"), F.col("text").alias("body"))
+    return chunking.chunk(books, target=1000, overlap=100, batch=4)
+
+
+def q_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("book_id", "id", "part", "parts_in_chapter", "batch", "file", "chars", "is_oversize", "preview")
+
+
+def q_reading_batches(spark, sf_dir):
+    return chunking.reading_batches(_chunks(spark, sf_dir))
+
+
+def q_chapters(spark, sf_dir):
+    titled = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# One\n"), "text", F.lit("\n# Two\n"), "text", F.lit("\nChapter 3 End\n"), "text").alias("text"))
+    return chapters.explode_chapters(titled, "doc_id").select("book_id", "index", "title", "start", "end", "chars")
+
+
+def q_feed_items(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    audio = c.select(F.col("conv_id").alias("show_id"), F.format_string("ep%05d.mp3", F.col("turn")).alias("name"), (F.length("text") * 100).cast("long").alias("length"), (F.length("text") / 4).alias("seconds"), F.concat(F.lit("# "), F.substring("text", 1, 20)).alias("notes"))
+    return publish.feed_items(audio, "Show", "https://cdn.example/", NOW)
+
+
+def q_feed_xml(spark, sf_dir):
+    return publish.feed_xml(q_feed_items(spark, sf_dir), "Show", "Corvane", "en")
+
+
+def q_name_plan(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(T.episode_id(F.col("page_id").cast("string")).alias("ep"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return publish.name_plan(p, prefix="x_")
+
+
+def q_upload_manifest(spark, sf_dir):
+    f = table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"^.*/", "").alias("name"), (F.octet_length("html").cast("long") * 20_000).alias("length"))
+    return publish.upload_manifest(f)
+
+
+def q_storage_audit(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    s = e.select(F.concat(F.lit("repo"), (F.col("user_id") % 50).cast("string")).alias("repo"), F.when(F.col("event_id") % 3 == 0, "cache").otherwise("artifact").alias("kind"), (F.col("event_id") * 1000).alias("size_in_bytes"), F.col("ts").alias("created_at"))
+    return audit.storage_audit(s, NOW, 20)
+
+
+def q_segment_audit(spark, sf_dir):
+    plan = _planned(spark, sf_dir)
+    n = F.col("line_no")
+    found = plan.filter(n % 5 != 1).select("episode", "line_no", F.when(n % 7 == 2, F.lit("old")).otherwise(F.col("hash")).alias("hash"), F.when(n % 4 == 3, 0).otherwise(F.col("chars")).alias("size"))
+    return audit.segment_audit(plan, found)
+
+
+def q_control_totals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    declared = d.groupBy("source").agg(F.sum("n_chars").alias("total"))
+    extracted = d.filter("doc_id % 2 = 0").groupBy("source").agg(F.sum(F.length("text")).alias("total"))
+    return audit.control_totals(declared, extracted, "source")
+
+
+def q_attribute_conflicts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    left = d.select(F.col("doc_id").alias("key"), F.col("n_chars").alias("value"))
+    right = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("long").alias("value"))
+    return audit.conflicts(left, right, "key")
+
+
+def q_dependency_levels(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    points = p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5 + 1).alias("weight"))
+    edges = points.select("id", F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("needs")).filter("needs > 0")
+    return graph.dependency_levels(points, edges)
+
+
+QUERIES = {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
+
+_CLEAN = "text"
+for _p, _t in [
+    (r"[（(]\s*(?:笑|停顿|轻笑|叹气|sigh|laughs?|pause)\s*[)）]", "…"), (r"[\[【]\s*(?:BGM|音效|SFX|sfx)[^\]】]*[\]】]", ""),
+    (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"`(.+?)`", r"\1"), (r"~~(.+?)~~", r"\1"), (r"\[(.+?)\]\(.+?\)", r"\1"),
+    (r"(?m)^#{1,6}\s*", ""), (r"(?m)^>\s*", ""), (r"\s+", " "),
+]:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_t}', 'g')"
+
+_LINES = f"""c AS (SELECT conv_id AS episode, turn AS line_no, role AS speaker, trim({_CLEAN}) AS text FROM conversations),
+p AS (SELECT *, length(text) AS chars, 'voice-' || speaker AS voice, substr(sha1('edge|voice-' || speaker || '|{{}}|' || text), 1, 12) AS hash FROM c WHERE text <> '')"""
+_TIMED = f"""{_LINES},
+d AS (SELECT *, (chars * 60000) // 260 AS ms, row_number() OVER w AS k, lag(speaker) OVER w AS was FROM p WINDOW w AS (PARTITION BY episode ORDER BY line_no)),
+g AS (SELECT *, CASE WHEN k = 1 THEN 0 WHEN speaker IS DISTINCT FROM was THEN 630 ELSE 350 END AS gap FROM d),
+t AS (SELECT *, (sum(gap + ms) OVER (PARTITION BY episode ORDER BY line_no))::BIGINT AS stop FROM g)"""
+_RAW = "r AS (SELECT conv_id AS episode, turn AS line_no, role AS speaker, text, length(text) AS n FROM conversations)"
+_WS = " \\t\\n\\r\\f"
+
+_VOTES = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + x + chr(39) for x in s.split())}))) AS v_{c}" for c, s in T.STOPWORDS.items())
+_RANK = "list_sort([" + ", ".join(f"{{'n': -v_{c}, 'place': {i}, 'code': '{c}'}}" for i, c in enumerate(T.STOPWORDS)) + "])"
+_NAMES = "CASE code " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in T.LANGUAGE_NAMES.items()) + " ELSE code END"
+_KEY = r"lower(regexp_replace(coalesce({0}, ''), '[《》〈〉「」【】\[\]（）()：:·,，、.。!！?？\-—_/\\\s]', '', 'g'))"
+
+ORACLES = {
+    "timeline": f"WITH {_TIMED} SELECT episode, line_no, speaker, chars, gap AS gap_ms, stop - ms AS start_ms, stop AS end_ms FROM t",
+    "chapter_markers": f"""WITH {_TIMED}, x AS (SELECT *, max(stop) OVER (PARTITION BY episode) AS total FROM t)
+SELECT episode, row_number() OVER w AS seq, substr(text, 1, 40) AS title, stop - ms AS start_ms, coalesce(lead(stop - ms) OVER w, total) AS end_ms
+FROM x WHERE speaker = 'user' AND trim(substr(text, 1, 40)) <> '' WINDOW w AS (PARTITION BY episode ORDER BY line_no)""",
+    "chapter_in_force": """SELECT conv_id AS episode, turn AS line_no, last_value(CASE WHEN role = 'user' AND trim(substr(text, 1, 40), ' ') <> '' THEN substr(text, 1, 40) END IGNORE NULLS)
+OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_chapter FROM conversations""",
+    "segment_plan": f"WITH {_LINES} SELECT episode, line_no, voice, chars, hash, printf('seg_%04d', line_no + 1) AS file FROM p",
+    "segment_reuse": f"WITH {_LINES} SELECT episode, count(*) AS n, count(*) FILTER (line_no % 3 <> 0) AS n_cached FROM p GROUP BY episode",
+    "render_cost": f"WITH {_LINES} SELECT episode, count(*) AS n_segments, sum(chars)::BIGINT AS chars, sum(chars)::DOUBLE * 430 / 1000000 AS cost FROM p GROUP BY episode",
+    "speaker_share": f"WITH {_RAW}, b AS (SELECT episode, speaker, count(*) AS n_lines, sum(n)::BIGINT AS chars FROM r GROUP BY ALL) SELECT *, chars::DOUBLE / (sum(chars) OVER (PARTITION BY episode))::DOUBLE AS share FROM b",
+    "length_budget": f"WITH {_RAW} SELECT episode, count(*) AS n_lines, sum(n)::BIGINT AS chars, CASE WHEN sum(n) < 1500 THEN 'short' WHEN sum(n) > 5500 THEN 'long' ELSE 'fits' END AS verdict FROM r GROUP BY episode",
+    "questions": f"WITH {_RAW}, q AS (SELECT episode, count(*) FILTER (speaker = 'user' AND regexp_matches(text, '[?？]')) AS n_questions FROM r GROUP BY episode) SELECT *, n_questions >= 1 AS enough FROM q",
+    "speaker_runs": f"""WITH {_TIMED}, s AS (SELECT *, sum((k = 1 OR speaker IS DISTINCT FROM was)::INT) OVER (PARTITION BY episode ORDER BY line_no) AS run FROM t)
+SELECT episode, run::BIGINT AS run, any_value(speaker) AS speaker, min(line_no) AS first_line, count(*) AS n_lines, sum(ms)::BIGINT AS run_ms, sum(ms) > 90000 AS too_long FROM s GROUP BY episode, run""",
+    "line_violations": f"""WITH {_RAW} SELECT episode, line_no, 'empty_text' AS rule FROM r WHERE trim(text, ' ') = ''
+UNION ALL SELECT episode, line_no, 'line_short' FROM r WHERE trim(text, ' ') <> '' AND n < 20
+UNION ALL SELECT episode, line_no, 'line_long' FROM r WHERE n > 120
+UNION ALL SELECT episode, line_no, 'markdown' FROM r WHERE regexp_matches(text, '\\*\\*|^#{{1,6}} |`|\\]\\(')""",
+    "language": f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(substr(coalesce(text, ''), 1, 200000)), '[a-zà-öø-ÿ]+') AS w FROM documents),
+v AS (SELECT doc_id, {_VOTES} FROM w), r AS (SELECT doc_id, {_RANK} AS r FROM v),
+c AS (SELECT doc_id, CASE WHEN r[1].n < 0 THEN r[1].code ELSE 'unknown' END AS code, CASE WHEN r[1].n < 0 THEN round_even(0.5::DOUBLE + 0.45::DOUBLE * (1 - r[2].n::DOUBLE / r[1].n::DOUBLE), 2) ELSE 0 END AS confidence FROM r)
+SELECT doc_id, code, {_NAMES} AS name, confidence FROM c""",
+    "catalog_matches": f"""WITH i AS (SELECT item_id, {_KEY.format('text')} AS k FROM benchmark), d AS (SELECT doc_id, {_KEY.format('text')} AS k FROM documents)
+SELECT doc_id, item_id FROM d JOIN i ON i.k <> '' AND d.k <> '' AND (contains(d.k, i.k) OR contains(i.k, d.k))""",
+    "candidate_status": """WITH q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), x AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
+SELECT doc_id, coalesce(nullif(concat_ws(' / ', CASE WHEN doc_id IN (SELECT doc_id FROM q) THEN '已建库' END, CASE WHEN doc_id IN (SELECT doc_id FROM x) THEN '本地已完成' END, CASE WHEN source = 'src3' THEN '已在书架' END), ''), '新') AS status FROM documents""",
+    "title_keys": "SELECT page_id, " + _KEY.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + " AS title_key FROM pages",
+    "last_event": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
+    "running_heads": "SELECT source AS book, 'Volume ' || source AS line, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 6",
+    "sufficiency": rf"WITH t AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^[{_WS}\x0B]+|[{_WS}\x0B]+$', '', 'g')) AS n FROM documents) SELECT doc_id, n::INTEGER AS n_text, n >= 200 AS sufficient FROM t",
+    "joined_books": """WITH b AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text) AS t FROM documents WHERE regexp_matches(text, '\\S') GROUP BY source)
+SELECT source, length(t)::INTEGER AS n_chars, sha1(t) AS sha1, CASE WHEN length(t) < 50000 THEN '2-3' WHEN length(t) < 150000 THEN '4-6' WHEN length(t) < 300000 THEN '6-10' ELSE '10-15' END AS episodes FROM b""",
+    "html_titles": "SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ' +', ' ', 'g') AS title FROM pages",
+    "image_urls": """SELECT DISTINCT page_id AS id, u AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, '<img[^>]*\\ssrc="([^"]+)"', 1)) AS u FROM pages) WHERE NOT starts_with(u, 'data:')""",
+    "readability": "SELECT page_id, CASE WHEN regexp_matches(html, 'track\\(\\d*[05]\\)') THEN '试读墙' WHEN regexp_matches(html, 'page=2|<nav>') THEN '可读' ELSE '异常' END AS verdict FROM pages",
+    "reading_minutes": """WITH w AS (SELECT doc_id, lang, length(text) AS n, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS w FROM documents)
+SELECT doc_id, round_even(CASE WHEN lang IN ('zh', 'ja', 'ko') THEN n / 260.0::DOUBLE ELSE w / 160.0::DOUBLE END, 0)::INTEGER AS minutes FROM w""",
+    "sentences": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([。！？!?；;…])\s*', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z"''“])', '\1' || chr(1) || '\2', 'g') AS t, text FROM documents),
+s AS (SELECT doc_id, text, list_filter(string_split(t, chr(1)), lambda x: regexp_matches(x, '\S')) AS s FROM m),
+o AS (SELECT doc_id, CASE WHEN len(s) > 0 THEN s ELSE [text] END AS s FROM s)
+SELECT doc_id, len(s)::INTEGER AS n_sentences, list_sum(list_transform(s, lambda x: length(x)))::INTEGER AS n_chars FROM o""",
+    "feed_items": """WITH a AS (SELECT conv_id AS show_id, printf('ep%05d', turn) AS stem, text, row_number() OVER (PARTITION BY conv_id ORDER BY printf('ep%05d', turn)) AS episode, count(*) OVER (PARTITION BY conv_id) AS total, length(text) // 4 AS s FROM conversations),
+b AS (SELECT *, regexp_extract('# ' || substr(text, 1, 20), '(?m)^# (.*)$', 1) AS head FROM a)
+SELECT show_id, episode, coalesce(nullif(trim(head, ' '), ''), stem) AS title, '# ' || substr(text, 1, 20) AS description, 'Show-' || stem AS guid,
+  strftime(TIMESTAMP '2024-02-01' - to_days((total - episode)::INTEGER), '%a, %d %b %Y %H:%M:%S') || ' +0000' AS pub_date, 'https://cdn.example/' || stem || '.mp3' AS url,
+  (length(text) * 100)::BIGINT AS length, 'audio/mpeg' AS type, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration FROM b""",
+    "name_plan": r"""WITH p AS (SELECT 'ep' || CASE WHEN page_id < 10 THEN '0' || page_id ELSE page_id::VARCHAR END AS ep, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+SELECT CASE WHEN page_id > 99 THEN 'ep' || substr(page_id::VARCHAR, 1, 2) ELSE ep END AS ep, title,
+  replace('x_' || CASE WHEN page_id > 99 THEN 'ep' || substr(page_id::VARCHAR, 1, 2) ELSE ep END || '__' || trim(regexp_replace(title, '[\\/:*?"<>|\r\n\t]+', ' ', 'g'), ' ') || '.mp3', '__.', '.') AS file_name FROM p""",
+    "upload_manifest": """WITH f AS (SELECT regexp_replace(url, '^.*/', '') AS file_name, octet_length(encode(html)) * 20000 AS file_size FROM pages),
+e AS (SELECT *, lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) AS file_ext FROM f), c AS (SELECT *, CASE file_ext WHEN 'html' THEN 'text/html' WHEN 'txt' THEN 'text/plain' WHEN 'pdf' THEN 'application/pdf' WHEN 'json' THEN 'application/json' WHEN 'md' THEN 'text/markdown' WHEN 'mp3' THEN 'audio/mpeg' WHEN 'm4a' THEN 'audio/mp4' WHEN 'wav' THEN 'audio/wav' END AS content_type FROM e)
+SELECT *, CASE WHEN content_type IS NULL THEN 'rejected' WHEN file_size < 104857600 THEN 'automatic' WHEN file_size <= 209715200 THEN 'manual' ELSE 'too large' END AS gate FROM c""",
+    "storage_audit": """WITH s AS (SELECT 'repo' || (user_id % 50) AS repo, CASE WHEN event_id % 3 = 0 THEN 'cache' ELSE 'artifact' END AS kind, event_id * 1000 AS b, ts < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AS old FROM events)
+SELECT repo, kind, CASE WHEN kind = 'artifact' AND old THEN 'zero' WHEN kind = 'artifact' THEN 'low, confirm' ELSE 'low' END AS risk, count(*) AS n, sum(b)::BIGINT AS bytes FROM s GROUP BY ALL""",
+    "segment_audit": f"""WITH {_LINES}, x AS (SELECT episode, line_no, CASE WHEN line_no % 5 = 1 THEN 'missing' WHEN line_no % 4 = 3 THEN 'empty' WHEN line_no % 7 = 2 THEN 'stale' END AS problem FROM p)
+SELECT * FROM x WHERE problem IS NOT NULL""",
+    "control_totals": """WITH d AS (SELECT source, sum(n_chars)::BIGINT AS declared FROM documents GROUP BY source), e AS (SELECT source, sum(length(text))::BIGINT AS extracted FROM documents WHERE doc_id % 2 = 0 GROUP BY source)
+SELECT coalesce(d.source, e.source) AS source, declared, extracted, extracted::DOUBLE / nullif(declared, 0) AS ratio,
+  CASE WHEN extracted IS NULL THEN 'not extracted' WHEN declared IS NULL THEN 'not declared' WHEN extracted::DOUBLE / declared BETWEEN 0.1 AND 10 THEN 'plausible' ELSE 'implausible' END AS verdict FROM d FULL JOIN e ON d.source = e.source""",
+    "attribute_conflicts": "SELECT coalesce(d.doc_id, l.doc_id) AS key, n_chars AS body, quality::BIGINT AS image FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE n_chars IS DISTINCT FROM quality",
+    "dependency_levels": """WITH RECURSIVE e AS (SELECT p_partkey AS id, p_partkey // 2 AS needs FROM part WHERE p_partkey // 2 > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey // 3 > 0),
+r(id, level) AS (SELECT p_partkey, 0 FROM part UNION SELECT e.id, r.level + 1 FROM r JOIN e ON e.needs = r.id),
+l AS (SELECT id, max(level) AS level FROM r GROUP BY id)
+SELECT id, level, row_number() OVER (ORDER BY level, p_size % 5 + 1 DESC, id) AS place FROM l JOIN part ON id = p_partkey""",
+}

@@ -130,7 +130,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     total, rows = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # partial counts and minima meet, not rows; only groups of copies go on
     heads = keyed.filter(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1").select("sha1", "head")
-    referred = keyed.join(heads, "sha1", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("head"), F.col("head")))
+    # only ids and digests meet the heads; the payloads are shuffled once, by page id
+    revisits = keyed.select("page_id", "sha1").join(heads, "sha1").filter("page_id <> head").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("sha1", "head"))).alias("heads"))
+    n = max(1, -(-int(total) // archive_bytes), -(-int(rows) // 200_000))
+    referred = keyed.repartition(n, "page_id").join(revisits, "page_id", "left").withColumn("refers_to", F.try_element_at("heads", F.col("sha1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,8 +144,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 out.append(data[:-1] if data[-1] == 0 else data + EMPTY_MEMBER[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    n = max(1, -(-int(total) // archive_bytes), -(-int(rows) // 200_000))
-    members = referred.select("page_id", "url", "payload", "sha1", "refers_to").repartition(n).mapInArrow(run, "member binary")
+    members = referred.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 

@@ -53,19 +53,16 @@ class Level:
     hashes: int
     words: list[int]
 
-    def positions(self, key: Column, number: int) -> list[Column]:
-        h = F.xxhash64(key, F.lit(number))
-        a, b = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)
-        return [F.pmod(a + b * F.lit(j), F.lit(self.bits)) for j in range(self.hashes)]
+    def positions(self, key: Column, number: int) -> Column:
+        """array<bigint> of the key's bits."""
+        h = F.transform(F.array(F.xxhash64(key, F.lit(number))), lambda h: F.struct(h.bitwiseAND(F.lit(0x7FFFFFFF)).alias("a"), F.shiftrightunsigned(h, 33).alias("b")))[0]
+        steps = F.array(*[F.lit(j).cast("bigint") for j in range(self.hashes)])
+        return F.transform(F.array(h), lambda h: F.transform(steps, lambda j: F.pmod(h["a"] + h["b"] * j, F.lit(self.bits))))[0]
 
     def holds(self, key: Column, number: int) -> Column:
         # a foldable expression: the optimizer turns it into one array literal, read in place
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        tests = [F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1 for p in self.positions(key, number)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        return F.forall(self.positions(key, number), lambda p: F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1)
 
 
 class Cascade:
@@ -88,8 +85,8 @@ def _rows(spark: SparkSession, keys: list[str]) -> DataFrame:
 def _level(spark: SparkSession, keys: list[str], number: int, rate: float) -> Level:
     bits = max(64, 64 * math.ceil(len(keys) * -math.log(rate) / math.log(2) ** 2 / 64))
     level = Level(bits, max(1, round(bits / max(1, len(keys)) * math.log(2))) if keys else 1, [])
-    level.hashes = min(level.hashes, 16)
-    p = _rows(spark, keys).select(F.explode(F.array(*level.positions(F.col("key"), number))).alias("p"))
+    level.hashes = min(level.hashes, 8)
+    p = _rows(spark, keys).select(F.explode(level.positions(F.col("key"), number)).alias("p"))
     found = p.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("bits"))
     words = {r["word"]: r["bits"] for r in found.collect()}  # at most bits / 64 rows
     level.words = [words.get(i, 0) for i in range(bits // 64)]

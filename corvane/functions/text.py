@@ -67,9 +67,13 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in columns])
 
 
-def script_counts(text: Column) -> dict[str, Column]:
+def script_counts(text: Column) -> Column:
+    """struct of counts by script; the rarer scripts are told apart among their own characters only."""
     sample = F.substring(text, 1, SAMPLE)
-    return {k: F.length(F.regexp_replace(sample, f"[^{r}]", "")) for k, r in SCRIPTS.items()}
+    rare = {k: r for k, r in SCRIPTS.items() if k != "latin"}
+    latin = F.length(F.regexp_replace(sample, f"[^{SCRIPTS['latin']}]", "")).alias("latin")
+    others = F.regexp_replace(sample, f"[^{''.join(rare.values())}]", "")
+    return let(others, lambda o: F.struct(*[F.length(F.regexp_replace(o, f"[^{r}]", "")).alias(k) for k, r in rare.items()], latin))
 
 
 def let(value: Column, then) -> Column:
@@ -107,8 +111,9 @@ def detect_language(text: Column) -> Column:
         return F.struct(code.alias("code"), F.coalesce(F.try_element_at(names, code), code).alias("name"), sure.alias("confidence"), scripts.alias("scripts"))
 
     own = F.coalesce(text, F.lit(""))
-    counts = F.struct(*[c.alias(k) for k, c in script_counts(own).items()])
-    return let(counts, lambda c: let(latin_words(own), lambda w: let(stopword_votes(w), lambda r: verdict(c, r))))
+    every = sorted({w for s in STOPWORDS.values() for w in s.split()})
+    words = F.filter(latin_words(own), lambda w: w.isin(*every))
+    return let(script_counts(own), lambda c: let(words, lambda w: let(stopword_votes(w), lambda r: verdict(c, r))))
 
 
 @F.pandas_udf(T.StringType())

@@ -88,10 +88,12 @@ def rank_windows(scratch: Scratch, df: DataFrame, keys: list[str], name: str) ->
 def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """did, th, at (line number), ln (number among lines with words), h1, h2, words. did and th name a document: its id and its text's hash."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = own.select("did", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.col("line").rlike(r"\S"))
-    line = F.col("line")
-    named = lines.select("did", "th", F.col("at").cast("long"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), F.size(F.split(F.trim(line), " +")).alias("words"))
-    return named
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    # lines with words are numbered without gaps, so that blank lines don't cut a run
+    worded = F.filter(numbered, lambda x: x["line"].rlike(r"\S"))
+    lines = own.select("did", F.xxhash64("text").alias("th"), F.posexplode(worded).alias("ln", "x"))
+    line = F.col("x.line")
+    return lines.select("did", "th", F.col("x.at").cast("long").alias("at"), F.col("ln").cast("long"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), F.size(F.split(F.trim(line), " +")).alias("words"))
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_lines: int, min_words: int) -> DataFrame:
@@ -100,11 +102,11 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
         raise ValueError("min_lines is a power of two")
     spark = docs.sparkSession
     lines = scratch.save(line_positions(docs, id_col, text_col), "lines")
-    place = F.struct("did", "th", "at")
+    # at one place or at several: rows that repeat a document repeat its places
+    place = F.xxhash64("did", "th", "at")
     again = lines.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h1", "h2")
-    # lines with words are numbered without gaps, so that blank lines don't cut a run
-    numbered = scratch.again(lines).dropDuplicates(["did", "th", "at"]).withColumn("ln", F.row_number().over(W.partitionBy("did", "th").orderBy("at")).cast("long"))
-    kept = scratch.save(numbered.join(again, ["h1", "h2"], "left_semi"), "repeated")
+    kept = scratch.again(lines).join(again, ["h1", "h2"], "left_semi").dropDuplicates(["did", "th", "at"])
+    kept = scratch.save(kept, "repeated")
     words = scratch.again(kept).select("did", "th", "ln", "words")
     level = scratch.save(rank_windows(scratch, kept, ["h1", "h2"], "sorted-0"), "level-0")
     span, spans = 1, []

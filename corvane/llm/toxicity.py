@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .bpe import Memo
 
 #: Labelled rows of each label that fitting may look at, features kept, and the decision threshold.
-SAMPLE, FEATURES, THRESHOLD = 3000, 800, 0.7
+SAMPLE, FEATURES, THRESHOLD = 2500, 800, 0.7
 #: Ridge of the classifier, relative to the mean loss.
 RIDGE = 0.1
 WORD = re.compile(r"[^\W\d_]+")
@@ -80,16 +81,27 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def induce_lexicon(docs: list[set[str]], y: np.ndarray, most: int) -> list[tuple[float, str]]:
-    """Features by strength of association with label 1: the lower end of their log odds ratio."""
+def induce_lexicon(texts: list[str | None], y: np.ndarray, most: int, least: int = 3) -> list[tuple[float, str]]:
+    """Features by strength of association with label 1: the lower end of their log odds ratio.
+
+    Only features that may occur in ``least`` toxic texts are counted by name: a small table of
+    counts by hash goes before, so that memory is bounded by what recurs.
+    """
+    toxic = [t for t, label in zip(texts, y, strict=True) if label]
+    table = np.zeros(1 << 22, np.uint16)
+    place = lambda f: zlib.crc32(f.encode()) & (1 << 22) - 1
+    for t in toxic:
+        table[[place(f) for f in document_features(t)]] += 1
     pos, neg = Counter(), Counter()
-    for found, label in zip(docs, y, strict=True):
-        (pos if label else neg).update(found)
-    n, m = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    for t in toxic:
+        pos.update(f for f in document_features(t) if table[place(f)] >= least)
+    pos = Counter({f: a for f, a in pos.items() if a >= least})
+    for t, label in zip(texts, y, strict=True):
+        if not label:
+            neg.update(f for f in document_features(t) if f in pos)
+    n, m = max(1, len(toxic)), max(1, len(texts) - len(toxic))
     out = []
     for f, a in pos.items():
-        if a < 3:
-            continue
         b = neg[f]
         ratio = math.log((a + 0.5) / (n - a + 0.5)) - math.log((b + 0.5) / (m - b + 0.5))
         strength = ratio - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n - a + 0.5) + 1 / (m - b + 0.5))
@@ -165,19 +177,19 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None)
     if not len(y) or not y.any() or y.all():
         return Model(bias=30.0 if len(y) and y.all() else -30.0)
     prior = min(0.9, max(0.001, float(y.mean()) if prior is None else prior))
-    docs = [document_features(t) for t in texts]
-    lexicon = induce_lexicon(docs, y, FEATURES)
+    lexicon = induce_lexicon(texts, y, FEATURES)
+    names = [f for _, f in lexicon]
+    index = {f: i for i, f in enumerate(names)}
+    docs = [document_features(t) & index.keys() for t in texts]
     voters = make_voters(lexicon)
     if not voters:
         return Model(bias=math.log(prior / (1 - prior)))
     votes = np.array([[v.vote(d) for v in voters] for d in docs], np.int8)
     # the given labels vote too, as one more voter of unknown accuracy
     post, accuracies, pairs = label_model(np.hstack([votes, (2 * y[:, None] - 1).astype(np.int8)]), float(y.mean()))
-    names = [f for _, f in lexicon]
-    index = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(docs), len(names)), np.float32)
     for r, d in enumerate(docs):
-        x[r, [index[f] for f in d if f in index]] = 1
+        x[r, [index[f] for f in d]] = 1
     x = np.hstack([x, (votes > 0).astype(np.float32)])  # the voters' toxic votes are features of a text as well
     # rows weigh as much as their label does under the prior
     weight = np.where(y > 0, prior / y.mean(), (1 - prior) / (1 - y.mean()))

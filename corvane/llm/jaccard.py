@@ -42,7 +42,7 @@ LONG = 64
 
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEPS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1)) for i in range(64)]
-_33, _32 = np.uint64(33), np.uint64(32)
+_33, _32, _KIND = np.uint64(33), np.uint64(32), np.uint64(255)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, Memo(300_000)
+        self.words, self.memo = words, Memo(150_000)
 
     def _hash(self, keys: list[bytes]) -> list[int]:
         import xxhash
@@ -130,14 +130,14 @@ class Scheme:
         return differ + 1 + spare, spare
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Even keys: parts of heavy sets; odd ones: subsets of light sets."""
+        """The last byte tells a key's kind: odd for subsets of light sets, else the size class of parts."""
         n, out = len(s), []
         m = mix(s + _STEPS[7])
         if 0 < n <= self.light:
             total = np.add.reduce(m)
             for c in sorted(self._sizes(n, self.light)):
                 if gone := [np.add.reduce(m[list(x)]) for x in combinations(range(n), n - c)]:
-                    out.append(mix(total - np.array(gone, np.uint64) + _times(c, 9)) | np.uint64(1))
+                    out.append(mix(total - np.array(gone, np.uint64) + _times(c, 9)) & ~_KIND | np.uint64(1))
         if n > self.heavy_from or n > self.light:
             k = self.size_class(n)
             for c in (k, k - 1):
@@ -146,11 +146,11 @@ class Scheme:
                 parts, spare = self.parts(c)
                 part = ((s >> _32) * np.uint64(parts)) >> _32
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                tag = _times(c + 1, 11)
-                out.append(mix(np.add.reduceat(m, starts) + mix(part[starts] + tag)) & ~np.uint64(1))
+                tag, kind = _times(c + 1, 11), np.uint64((c & 127) << 1)
+                out.append(mix(np.add.reduceat(m, starts) + mix(part[starts] + tag)) & ~_KIND | kind)
                 if parts - len(starts) > spare - (SHARED - 1):  # too many empty ones: these count as well
                     empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
-                    out.append(mix(mix(empty + tag)) & ~np.uint64(1))
+                    out.append(mix(mix(empty + tag)) & ~_KIND | kind)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -165,8 +165,8 @@ def shingle_keys(docs: DataFrame, words: int, least: int, of: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, scheme = _tools(words, least, of)
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                ids, texts = batch.column(0)[lo : lo + 2000], batch.column(1)[lo : lo + 2000].to_pylist()
+            for lo in range(0, len(batch), 500):
+                ids, texts = batch.column(0)[lo : lo + 500], batch.column(1)[lo : lo + 500].to_pylist()
                 n, s1, s2, keys = [], [], [], []
                 for s in shingler.sets(texts):
                     n.append(len(s))
@@ -270,6 +270,37 @@ def links_in_block(ids: list[int], sets: list[np.ndarray], side: np.ndarray, lea
     return out
 
 
+def joined_families(scratch: Scratch, star: DataFrame, families: DataFrame, least: int) -> DataFrame:
+    """families, joined where a document shares lists with a weight of ``least`` with another family's centres together.
+
+    What differs much from a large family has other centres in each list, and would else be
+    compared across with all of it.
+    """
+    label = lambda name, at: scratch.again(families).select(F.col("node").alias(at), F.col("label").alias(name))
+    both = star.join(label("x", "leader"), "leader", "left").join(label("y", "doc"), "doc", "left")
+    own = both.select("doc", F.coalesce("x", "leader").alias("x"), F.coalesce("y", "doc").alias("y"), F.when(F.col("key") % 2 != 0, least).otherwise(1).alias("w"))
+    strays = own.filter("x <> y").groupBy("x", "doc").agg(F.sum("w").alias("w")).filter(F.col("w") >= least).select(F.col("x").alias("a"), F.col("doc").alias("b"))
+    return components(strays.unionByName(families.select(F.col("node").alias("a"), F.col("label").alias("b"))), scratch)
+
+
+def across_families(scratch: Scratch, member: DataFrame, least: int, rounds: int = 3) -> DataFrame:
+    """The rows of member (key, doc, n, family) that may lie on a pair across families, with kind and weight.
+
+    Such a pair shares keys of one kind with a weight of ``least`` in lists of more than one family.
+    So a document that has less in such lists goes, lists that then hold one family go, and so on:
+    what is left of a common passage's lists are the few documents that share several of them.
+    """
+    key = F.col("key")
+    rows = member.select("*", key.bitwiseAND(F.lit(255)).alias("kind"), F.when(key % 2 != 0, least).otherwise(1).alias("weight"))
+    for turn in range(rounds):
+        rows = scratch.save(rows, f"across-{turn}")
+        mixed = rows.groupBy("key").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x <> y").select("key")
+        rows = scratch.save(scratch.again(rows).join(mixed, "key", "left_semi"), f"mixed-{turn}")
+        enough = rows.groupBy("doc", "kind").agg(F.sum("weight").alias("w")).filter(F.col("w") >= least).select("doc", "kind")
+        rows = scratch.again(rows).join(enough, ["doc", "kind"], "left_semi")
+    return scratch.save(rows, "across")
+
+
 LINK = "a long, b long"
 
 
@@ -325,23 +356,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = scratch.save(shingle_keys(own, words, least, of), "keys")
     equal = keyed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep <> top").drop("top")
     equal = scratch.save(equal, "equal")
-    known = join_ids(scratch.again(keyed), equal, ["s1", "s2", "n"], equal.count(), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    known = join_ids(scratch.again(keyed), equal, ["s1", "s2", "n"], equal.count(), "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     nodes = scratch.save(known.select("doc_id", "n", "rep"), "nodes")
     entries = known.filter("rep = doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n")
     star = scratch.save(stars(entries), "stars")
     scratch.drop(keyed, equal)
     weight = F.sum(F.when(F.col("key") % 2 != 0, SHARED).otherwise(1))
     close = star.groupBy("leader", "doc").agg(weight.alias("w")).filter(F.col("w") >= SHARED).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    families = components(close, scratch)
+    families = joined_families(scratch, star, components(close, scratch), SHARED)
     # lists whose documents belong to different families: pairs across them that share enough lists
     member = star.select("key", F.col("leader").alias("doc"), F.col("leader_n").alias("n")).distinct().unionByName(star.select("key", "doc", "n"))
     member = member.join(families.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("family", F.coalesce("label", "doc")).drop("label")
     member = scratch.save(member, "member")
-    mixed = scratch.again(member).groupBy("key").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x <> y").select("key")
-    mixed = scratch.save(member.join(mixed, "key", "left_semi"), "mixed")
+    mixed = across_families(scratch, member, SHARED)
     x, y = mixed.alias("x"), scratch.again(mixed).alias("y")
     fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.family") != F.col("y.family")) & (F.least("x.n", "y.n") * of >= F.greatest("x.n", "y.n") * least)
-    across = x.join(y, fits).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.sum(F.when(F.col("x.key") % 2 != 0, SHARED).otherwise(1)).alias("w")).filter(F.col("w") >= SHARED).select("a", "b")
+    across = x.join(y, fits).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.kind")).agg(F.sum("x.weight").alias("w")).filter(F.col("w") >= SHARED).select("a", "b").distinct()
     across = scratch.save(across, "across")
     inside = scratch.save(scratch.again(member).join(families, F.col("doc") == F.col("node"), "left_semi").select("doc", "family", "n").distinct(), "inside")
     scratch.drop(mixed, member, star)
@@ -351,9 +381,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, _ = _tools(words, least, of)
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                texts = batch.column(1)[lo : lo + 2000].to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 2000], pa.array([s.tobytes() for s in shingler.sets(texts)], pa.binary())], ["doc", "s"])
+            for lo in range(0, len(batch), 500):
+                texts = batch.column(1)[lo : lo + 500].to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 500], pa.array([s.tobytes() for s in shingler.sets(texts)], pa.binary())], ["doc", "s"])
 
     sets = scratch.save(wanted.select("doc", "text").mapInArrow(pack, "doc long, s binary"), "sets")
     links = family_links(sets, inside, least, of).unionByName(pair_links(scratch.again(sets), scratch.again(sets), across, least, of))

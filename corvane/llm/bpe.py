@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import weakref
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Entries of one generation of a worker's memo of pre-tokens, and of space-separated stretches.
 PIECES, STRETCHES = 400_000, 300_000
 #: Characters of text that are encoded together.
@@ -164,13 +167,25 @@ class Merger:
 
 
 class Memo:
-    """Two generations of a dict: when the young one is full, it takes the old one's place."""
+    """Two generations of a dict: when the young one is full, it takes the old one's place.
+
+    A worker serves one operator after the other: when one fills its memos, those of others go.
+    """
 
-    def __init__(self, most: int):
-        self.young, self.old, self.most = {}, {}, most
+    _all: weakref.WeakSet = weakref.WeakSet()
+    _owner: str | None = None
 
-    def fill(self, keys: Iterable[str], make) -> dict:
+    def __init__(self, most: int, owner: str):
+        self.young, self.old, self.most, self.owner = {}, {}, most, owner
+        Memo._all.add(self)
+
+    def fill(self, keys: Iterable, make) -> dict:
         """The young generation, in which all the keys are then found."""
+        if Memo._owner != self.owner:
+            for other in list(Memo._all):
+                if other.owner != self.owner:
+                    other.young, other.old = {}, {}
+            Memo._owner = self.owner
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -194,11 +209,11 @@ class Stretches:
     space has white space on both sides; texts with such spaces are encoded as one stretch.
     """
 
-    def __init__(self, encode_all, most: int = STRETCHES):
+    def __init__(self, encode_all, owner: str, most: int = STRETCHES):
         import regex
 
         self.encode_all = encode_all  # list of str to list of ids as bytes
-        self.memo = Memo(most)
+        self.memo = Memo(most, owner)
         self.crowded = regex.compile(r"[\s\x1c-\x1f] [\s\x1c-\x1f]").search
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -232,7 +247,7 @@ class Encoder:
         merger = Merger(read_ranks(ranks_path))
         # the same white space as in the rank files' own library
         split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.ranks, self.bytes_of, self.pieces = merger.ranks, merger.bytes_of, Memo(PIECES)
+        self.ranks, self.bytes_of, self.pieces = merger.ranks, merger.bytes_of, Memo(PIECES, "bpe")
 
         def merged(keys: list[str]) -> list[bytes]:
             return merger.merge([k.encode("utf-8", "surrogatepass") for k in keys])
@@ -242,7 +257,7 @@ class Encoder:
             get = self.pieces.fill(set().union(*found), merged).__getitem__
             return [b"".join(map(get, f)) for f in found]
 
-        self.stretches = Stretches(encode_all)
+        self.stretches = Stretches(encode_all, "bpe")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.stretches.encode(texts)
@@ -260,6 +275,8 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int), decoded (binary): one row per input row. For nulls see ``digest_texts``."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(ranks_path, pattern)
         for batch in batches:
@@ -276,6 +293,8 @@ def digest_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     columns are not read. Special tokens' strings are ordinary text.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(ranks_path, pattern)
         for batch in batches:

@@ -60,7 +60,7 @@ class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, Memo(150_000)
+        self.words, self.memo = words, Memo(100_000, "jaccard")
 
     def _hash(self, keys: list[bytes]) -> list[int]:
         import xxhash

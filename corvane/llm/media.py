@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 BLOCK, RATE = 64, 8000
 
 
@@ -218,6 +220,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts as empty (64 bytes 0). Equal texts get equal values; repeated rows stay. An empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in STORED.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32()]
 

@@ -72,7 +72,7 @@ def _token_stretches(json_path: str, ranks_path: str, pattern: str) -> tuple[Str
     whole = Tokenizer.from_file(json_path)
     ranks = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
     pack = lambda ids: np.array(ids, "<u4").tobytes()
-    return Stretches(lambda texts: [pack(ranks(t)) for t in texts]), lambda text: pack(whole.encode(text, add_special_tokens=False).ids)
+    return Stretches(lambda texts: [pack(ranks(t)) for t in texts], "packing"), lambda text: pack(whole.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(2)

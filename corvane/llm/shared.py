@@ -21,10 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch: whole texts go to Python, so that few of them are held at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session's Arrow batches hold BATCH_ROWS rows at most; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder: each cuts the lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_folder(spark)}/corvane/{label}-{uuid.uuid4().hex}"
         self._made = 0

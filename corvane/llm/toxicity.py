@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
+from .shared import small_batches
 
 #: Labelled rows of each label that fitting may look at, features kept, and the decision threshold.
 SAMPLE, FEATURES, THRESHOLD = 2500, 800, 0.7
@@ -207,6 +208,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picks = [r for y in (0, 1) for r in usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
     ids = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in picks], "id long, y int")
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = own.join(F.broadcast(ids), "id").select("id", "text", "y").dropDuplicates(["id"]).collect()  # bounded: 2 x most rows
     rows.sort(key=lambda r: r["id"])
@@ -246,7 +248,7 @@ def memo_of(model: Model) -> Memo:
     """A worker's memo for the model, kept between batches."""
     if id(model) not in _memos:
         _memos.clear()
-        _memos[id(model)] = model, Memo(300_000)
+        _memos[id(model)] = model, Memo(100_000, "toxicity")
     return _memos[id(model)][1]
 
 

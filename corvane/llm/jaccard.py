@@ -95,7 +95,7 @@ class Scheme:
         while x < 2000 and self._subsets(x + 1, x + 1) <= SCAN * self._entries(x + 1):
             x += 1
         self.light = x
-        self.heavy_from = math.ceil(x * least / of)  # smaller sets have no partner over the boundary
+        self.heavy_from = -(-(x + 1) * least // of)  # smaller sets have no partner over the boundary
 
     def overlap(self, a: int, b: int) -> int:
         return -(-self.least * (a + b) // (self.least + self.of))
@@ -138,7 +138,7 @@ class Scheme:
             for c in sorted(self._sizes(n, self.light)):
                 if gone := [np.add.reduce(m[list(x)]) for x in combinations(range(n), n - c)]:
                     out.append(mix(total - np.array(gone, np.uint64) + _times(c, 9)) & ~_KIND | np.uint64(1))
-        if n > self.heavy_from or n > self.light:
+        if n >= self.heavy_from:
             k = self.size_class(n)
             for c in (k, k - 1):
                 if c < 0:

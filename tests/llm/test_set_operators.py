@@ -102,6 +102,29 @@ def test_jaccard_pairs_across_families(spark, monkeypatch):
     assert {tuple(r) for r in got} == brute_components(rows, 4, 85, 100)  # no family at all: every pair is compared across
 
 
+@pytest.mark.parametrize(("least", "light"), [(85, 13), (80, 9)])
+def test_similar_sizes_share_keys(least, light):
+    scheme, rng = jaccard.Scheme(least, 100), np.random.default_rng(least)
+    assert scheme.light == light
+    for n in range(1, 3 * light):
+        for m in range(n, n * 100 // least + 1):
+            s = rng.integers(0, 2**64, m, np.uint64, endpoint=False)
+            common = np.intersect1d(scheme.keys(np.sort(s[:n])), scheme.keys(np.sort(s)))
+            by_kind = defaultdict(int)
+            for key in common:
+                by_kind[key & np.uint64(255)] += jaccard.SHARED if key & np.uint64(1) else 1
+            assert max(by_kind.values(), default=0) >= jaccard.SHARED, (n, m)
+
+
+@pytest.mark.parametrize(("words", "least", "short", "more"), [(4, 85, 15, 2), (5, 80, 12, 2)])
+def test_jaccard_over_the_light_boundary(spark, words, least, short, more):
+    text = [f"w{i}" for i in range(short + more)]
+    rows = [(1, " ".join(text)), (2, " ".join(text[:short])), (3, "something else entirely in one line of its own")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=words, least=least, of=100).collect()
+    assert {tuple(r) for r in got} == brute_components(rows, words, least, 100)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B  C\td e")], "doc_id long, text string")
     assert sorted(map(repr, map(tuple, jaccard.jaccard_components(df).collect()))) == ["(1, 1, 1)", "(1, 1, 1)", "(2, 1, 1)", "(None, 1, None)"]

@@ -54,7 +54,6 @@ BY_SCRIPT = [
     ("thai", "th", 0.3, 1, 0.2),
     ("greek", "el", 0.3, 1, 0.2),
 ]
-SAMPLE = 200_000
 UNSPACED = ("zh", "ja", "ko", "th")
 
 
@@ -69,10 +68,9 @@ def first_present(*columns: Column) -> Column:
 
 def script_counts(text: Column) -> Column:
     """struct of counts by script; the rarer scripts are told apart among their own characters only."""
-    sample = F.substring(text, 1, SAMPLE)
     rare = {k: r for k, r in SCRIPTS.items() if k != "latin"}
-    latin = F.length(F.regexp_replace(sample, f"[^{SCRIPTS['latin']}]", "")).alias("latin")
-    others = F.regexp_replace(sample, f"[^{''.join(rare.values())}]", "")
+    latin = F.length(F.regexp_replace(text, f"[^{SCRIPTS['latin']}]", "")).alias("latin")
+    others = F.regexp_replace(text, f"[^{''.join(rare.values())}]", "")
     return let(others, lambda o: F.struct(*[F.length(F.regexp_replace(o, f"[^{r}]", "")).alias(k) for k, r in rare.items()], latin))
 
 
@@ -82,7 +80,7 @@ def let(value: Column, then) -> Column:
 
 
 def latin_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.substring(text, 1, SAMPLE)), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
 
 
 def stopword_votes(words: Column) -> Column:
@@ -94,8 +92,11 @@ def stopword_votes(words: Column) -> Column:
     return F.array_sort(F.array(*[F.struct((-votes(s.split())).alias("n"), F.lit(i).alias("place"), F.lit(code).alias("code")) for i, (code, s) in enumerate(STOPWORDS.items())]))
 
 
-def detect_language(text: Column) -> Column:
-    """struct<code, name, confidence, scripts>: by script shares, else by a vote of function words."""
+def detect_language(text: Column, sample: int | None = None) -> Column:
+    """struct<code, name, confidence, scripts>: by script shares, else by a vote of function words.
+
+    The whole text counts, or its first ``sample`` characters where that is given.
+    """
     names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
 
     def verdict(counts: Column, ranked: Column) -> Column:
@@ -111,6 +112,7 @@ def detect_language(text: Column) -> Column:
         return F.struct(code.alias("code"), F.coalesce(F.try_element_at(names, code), code).alias("name"), sure.alias("confidence"), scripts.alias("scripts"))
 
     own = F.coalesce(text, F.lit(""))
+    own = own if sample is None else F.substring(own, 1, sample)
     every = sorted({w for s in STOPWORDS.values() for w in s.split()})
     words = F.filter(latin_words(own), lambda w: w.isin(*every))
     return let(script_counts(own), lambda c: let(words, lambda w: let(stopword_votes(w), lambda r: verdict(c, r))))

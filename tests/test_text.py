@@ -16,6 +16,14 @@ def test_language(spark, text, code):
     assert one(spark, T.detect_language(F.col("t").cast("string")), t=text)["code"] == code
 
 
+def test_language_of_the_whole_text(spark):
+    text = F.concat(F.repeat(F.lit("the cat and the dog "), 10_500), F.repeat(F.lit("это книга "), 60_000))
+    assert one(spark, T.detect_language(text))["code"] == "ru"
+    assert one(spark, T.detect_language(text, sample=200_000))["code"] == "en"
+    words = F.concat(F.repeat(F.lit("the cat and the dog "), 10_500), F.repeat(F.lit("der Hund und die Katze "), 30_000))
+    assert one(spark, T.detect_language(words))["code"] == "de"
+
+
 def test_language_confidence(spark):
     got = one(spark, T.detect_language(F.col("t")), t="the the the la")
     assert (got["code"], got["confidence"], got["scripts"]) == ("en", 0.8, {"latin": 1.0})

@@ -68,6 +68,15 @@ def test_packing_by_sentences():
     assert chunking.pieces_of("Hello one. World two. Third one here.", 20, glue="")[0] == "Hello one.World two."
 
 
+def test_glue_follows_the_joint():
+    front, zh, en = "Plain front matter. " * 60, "这是第一句话。那是第二句话！" * 10, "Hello one. World two. Third one here. "
+    assert len(front) > 1000
+    got = chunking.pieces_of(f"{front}\n\n{zh}", 60)
+    assert "".join(p for p in got if "这" in p or "那" in p) == zh and " ".join(p for p in got if "Plain" in p) == front.strip()
+    assert chunking.pieces_of("字\n\n" + en * 3, 40)[1:] == ["Hello one. World two. Third one here."] * 3
+    assert chunking.pieces_of("他用Python。Java也行。" + "他用Python。" * 5, 30)[0] == "他用Python。Java也行。他用Python。"
+
+
 def test_chunks(spark):
     c = spark.createDataFrame([(1, 1, "A", "aa\n\nbb\n\ncc"), (1, 2, "B", "dd")], "book_id long, index int, title string, body string")
     got = chunking.chunk(c, target=4, overlap=1, batch=2).orderBy("id").collect()

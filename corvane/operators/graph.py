@@ -6,24 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 64
+#: Rounds whose levels are gathered in one table.
+ROUNDS = 16
 
 
-def dependency_levels(points: DataFrame, edges: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def dependency_levels(points: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """id, level, place: points (id, weight) behind all they depend on (edges: id, needs), heavier ones first.
 
     A point's level is the longest path to one without prerequisites; points on or behind a cycle
-    have none (null) and come last. The relaxation stops when no level changes.
+    have none (null) and come last. Each round peels the points whose prerequisites all have levels;
+    what no round peels is on or behind a cycle. With ``most``, deeper levels are null as well.
     """
     known = points.select("id").distinct()
-    inner = edges.select("id", "needs").join(known.withColumnRenamed("id", "needs"), "needs", "left_semi").distinct().persist()
-    levels = known.withColumn("level", F.lit(0))
-    for turn in range(1, most + 2):
-        reached = inner.join(levels.select(F.col("id").alias("needs"), "level"), "needs").groupBy("id").agg((F.max("level") + 1).alias("deeper"))
-        levels = levels.join(reached, "id", "left").select("id", F.coalesce("deeper", F.lit(0)).alias("level")).checkpoint() if levels.sparkSession.sparkContext.getCheckpointDir() else levels.join(reached, "id", "left").select("id", F.coalesce("deeper", F.lit(0)).alias("level")).persist()
-        if levels.filter(F.col("level") >= turn).limit(1).count() == 0:
+    ends = lambda name: known.select(F.col("id").alias(name))
+    rest = _settled(edges.select("id", "needs").join(ends("needs"), "needs", "left_semi").join(ends("id"), "id", "left_semi").distinct())
+    turn, left, reached = 0, rest.count(), None  # rest: edges to points without a level; a point's level is how many rounds it is in there
+    while left and (most is None or turn <= most):
+        turn += 1
+        waiting = rest.select("id").distinct()
+        reached = waiting.withColumn("level", F.lit(turn)) if reached is None else reached.unionByName(waiting.withColumn("level", F.lit(turn)))
+        if turn % ROUNDS == 0:
+            reached = _settled(reached.groupBy("id").agg(F.max("level").alias("level")))
+        rest = _settled(rest.join(waiting.withColumnRenamed("id", "needs"), "needs", "left_semi"))
+        before, left = left, rest.count()
+        if left == before:
             break
-    else:
+    levels = known.withColumn("level", F.lit(0))
+    if reached is not None:
+        deepest = reached.groupBy("id").agg(F.max("level").alias("deepest"))
+        endless = rest.select("id").distinct().withColumn("endless", F.lit(True))
+        levels = known.join(deepest, "id", "left").join(endless, "id", "left").select("id", F.when(F.col("endless").isNull(), F.coalesce("deepest", F.lit(0))).alias("level"))
+    if most is not None:
         levels = levels.withColumn("level", F.when(F.col("level") <= most, F.col("level")))
     order = W.orderBy(F.asc_nulls_last("level"), F.desc("weight"), "id")
     return levels.join(points, "id").select("id", "level", F.row_number().over(order).alias("place"))

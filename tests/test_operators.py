@@ -166,6 +166,16 @@ def test_dependencies(spark):
     assert got["a"] == (0, 1) and got["b"] == (1, 2) and got["c"] == (1, 3) and got["d"] == (2, 4) and got["x"][0] is None
 
 
+def test_dependency_levels_of_a_long_chain(spark):
+    n = 67
+    points = spark.createDataFrame([(i, 1) for i in range(n)] + [(100, 1), (101, 1), (102, 1)], "id int, weight int")
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, n)] + [(100, 101), (101, 100), (102, 101), (102, 5), (7, 7000)], "id int, needs int")
+    got = {r.id: (r.level, r.place) for r in graph.dependency_levels(points, edges).collect()}
+    assert got == {i: (i, i + 1) for i in range(n)} | {100: (None, n + 1), 101: (None, n + 2), 102: (None, n + 3)}
+    short = {r.id: r.level for r in graph.dependency_levels(points, edges, 2).collect()}
+    assert short == {i: i if i <= 2 else None for i in range(n)} | dict.fromkeys((100, 101, 102))
+
+
 def test_readability_and_key(spark):
     df = spark.createDataFrame(pd.DataFrame({"t": ["试读结束", "下一页", "?"]}))
     assert [r.v for r in df.select(pages.readability(F.col("t")).alias("v")).collect()] == ["试读墙", "可读", "异常"]

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,9 @@ MIN_LINES, MIN_WORDS = 2, 10
 #: Rows of a range partition, and the most deletion marks that are broadcast.
 PARTITION, MARKS = 500_000, 2_000_000
 POS = ["did", "th", "at", "ln"]
+# Unicode white space; letters of scripts without spaces, and about how many make a word.
+SPACES = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+UNSPACED = [(r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}", 2), (r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}", 4)]
 NO_ID = -(2**63)
 
 
@@ -85,6 +89,13 @@ def rank_windows(scratch: Scratch, df: DataFrame, keys: list[str], name: str) ->
     return ranked.select(*POS, rank.alias("rank"), earlier.alias("earlier"))
 
 
+def count_words(line: Column) -> Column:
+    """What Unicode white space parts; in scripts without spaces, so many letters as make a word on average."""
+    spaced = F.size(F.filter(F.split(line, f"[{SPACES}]+"), lambda w: w != ""))
+    unspaced = reduce(lambda a, b: a + b, [F.floor(F.length(F.regexp_replace(line, f"[^{letters}]+", "")) / n).cast("int") for letters, n in UNSPACED])
+    return spaced + F.when(line.rlike(f"[{''.join(x for x, _ in UNSPACED)}]"), unspaced).otherwise(0)
+
+
 def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """did, th, at (line number), ln (number among lines with words), h1, h2, words. did and th name a document: its id and its text's hash."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -93,7 +104,7 @@ def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     worded = F.filter(numbered, lambda x: x["line"].rlike(r"\S"))
     lines = own.select("did", F.xxhash64("text").alias("th"), F.posexplode(worded).alias("ln", "x"))
     line = F.col("x.line")
-    return lines.select("did", "th", F.col("x.at").cast("long").alias("at"), F.col("ln").cast("long"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), F.size(F.split(F.trim(line), " +")).alias("words"))
+    return lines.select("did", "th", F.col("x.at").cast("long").alias("at"), F.col("ln").cast("long"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), count_words(line).alias("words"))
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_lines: int, min_words: int) -> DataFrame:
@@ -142,8 +153,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with text_col without later copies of repeated line runs, and n_lines, n_deleted, longest_run.
 
     A line goes if it lies in a run of at least min_lines lines (a power of two) whose copy starts
-    earlier in the order of (id, hash of the text, line), or if it has min_words words and occurs
-    earlier. Lines are compared as they are; blank ones don't count and go with the line before
+    earlier in the order of (id, hash of the text, line), or if it has min_words words (see
+    count_words) and occurs earlier. Lines are compared as they are; blank ones don't count and go with the line before
     them. Null and empty texts stay as they are. Rows equal in id and text are one document and
     get one result; rows with a null id come first. Other columns stay. An empty table stays empty.
     longest_run: lines of the longest window of 2**j lines with an earlier copy (0: none).

@@ -155,6 +155,16 @@ def brute_lines(rows, min_words=10):
     return out
 
 
+def test_line_dedup_counts_words_without_spaces(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    gone = ["\t".join(words), "\u00a0".join(words), "\u3000".join(words), "这是一个在许多文档里重复出现的很长的段落没有空格", "ข้อความนี้ปรากฏซ้ำในเอกสารหลายฉบับโดยไม่มีช่องว่างระหว่างคำเลย"]
+    kept = ["\t".join(words[:9]), "短句重复", "สวัสดี", "x" * 200]
+    rows = [(i, "\n".join(x for k, line in enumerate(gone + kept) for x in (line, f"own {i} {k}"))) for i in range(2)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[1].n_deleted == len(gone)
+    assert got[1].text == "\n".join([f"own 1 {k}" for k in range(len(gone))] + [x for k, line in enumerate(kept, len(gone)) for x in (line, f"own 1 {k}")])
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     words = "one two three four five six seven eight nine ten"

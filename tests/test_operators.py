@@ -166,6 +166,13 @@ def test_dependencies(spark):
     assert got["a"] == (0, 1) and got["b"] == (1, 2) and got["c"] == (1, 3) and got["d"] == (2, 4) and got["x"][0] is None
 
 
+def test_control_total_verdicts(spark):
+    declared = spark.createDataFrame([("same", 100), ("none", 100), ("tiny", 1000), ("huge", 10), ("zero", 0)], "source string, total long")
+    extracted = spark.createDataFrame([("same", 100), ("tiny", 10), ("huge", 1000), ("zero", 5), ("more", 5)], "source string, total long")
+    got = {r.source: r.verdict for r in audit.control_totals(declared, extracted, "source").collect()}
+    assert got == {"same": "plausible", "none": "not extracted", "tiny": "implausible", "huge": "implausible", "zero": "implausible", "more": "not declared"}
+
+
 def test_dependency_levels_of_a_long_chain(spark):
     n = 67
     points = spark.createDataFrame([(i, 1) for i in range(n)] + [(100, 1), (101, 1), (102, 1)], "id int, weight int")

@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 Lexicons are induced from a bounded sample of labelled rows: whole words and word beginnings that
-go with the label. Many lexicon voters (the entries split by kind and strength, and dealt into
+go with the label, and n-grams of runs that may hold several words (unspaced scripts, long runs).
+Many lexicon voters (the entries split by kind and strength, and dealt into
 several lists each) and pattern voters vote toxic, clean or not at all. A generative label model
 estimates each voter's accuracy by expectation maximization and, from the voters' agreement beyond
 what the label explains, which voters are correlated; correlated ones share their say. Its
@@ -29,16 +30,25 @@ from .shared import small_batches
 SAMPLE, FEATURES, THRESHOLD = 2500, 800, 0.7
 #: Ridge of the classifier, relative to the mean loss.
 RIDGE = 0.1
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of the scripts that don't part words (Thai, Lao, Burmese, Khmer, Han, kana), and the marks among them.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+WORD = re.compile(r"(?:[^\W\d_]+|[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ece\u102b-\u103e\u17b4-\u17d3]+)+")
+#: Letters from which on a run can be several words without spaces; longest n-gram of such runs.
+LONG, GRAM = 41, 6
 
 
 def features_of(token: str) -> tuple[str, ...]:
-    """The words of a space-separated token, and the beginnings of at least three letters that each continues."""
+    """The words of a space-separated token, and the beginnings of at least three letters that each continues.
+
+    Runs in unspaced scripts and of LONG letters or more have their n-grams of up to GRAM letters as well.
+    """
     out = []
     for w in WORD.findall(token.lower()):
-        w = w[:40]
         out.append("=" + w)
         out += ["^" + w[:n] for n in range(3, min(len(w), 13))]
+        unspaced = UNSPACED.search(w)
+        if unspaced or len(w) >= LONG:
+            out += {"~" + w[i : i + n] for n in range(1 if unspaced else 2, GRAM + 1) for i in range(len(w) - n + 1)}
     return tuple(out)
 
 
@@ -114,7 +124,7 @@ def induce_lexicon(texts: list[str | None], y: np.ndarray, most: int, least: int
 def make_voters(lexicon: list[tuple[float, str]]) -> list[Voter]:
     """Lexicon voters by kind and strength, each dealt into three lists; pattern voters on how many entries occur."""
     voters = []
-    for kind in "=^":
+    for kind in "=^~":
         own = [f for _, f in lexicon if f[0] == kind]
         for lo, hi in ((0, 10), (10, 40), (40, 150)):
             tier = own[lo:hi]

@@ -212,6 +212,23 @@ def test_toxicity(spark, toxic_rows):
     assert {r.score for r in toxicity.score_toxicity(docs.limit(3), labels.limit(0)).collect()} == {toxicity.Model().score(set())}
 
 
+@pytest.mark.parametrize(("letters", "bad"), [("天地玄黄宇宙洪荒日月盈昃辰宿列张", "坏蛋话"), ("กขคงจฉชซญดตถ", "ชั่วร้าย"), ("bcdfghjklm", "vile")])
+def test_toxicity_behind_the_first_letters_of_a_run(letters, bad):
+    rng = random.Random(9)
+    texts, labels = [], []
+    for i in range(400):
+        run = "".join(rng.choice(letters) for _ in range(90))
+        texts.append(run[:60] + bad + run[60:] if i % 4 == 0 else run)
+        labels.append(int(i % 4 == 0))
+    model = toxicity.fit(texts[:300], labels[:300])
+    assert [int(s >= toxicity.THRESHOLD) for s in toxicity.scores_of(model, texts[300:])] == labels[300:]
+
+
+def test_long_words_differ_by_their_last_letters():
+    assert "=" + "x" * 50 + "y" in toxicity.features_of("x" * 50 + "y") and toxicity.features_of("x" * 50 + "y") != toxicity.features_of("x" * 50 + "z")
+    assert set(toxicity.features_of("Hello")) == {"=hello", "^hel", "^hell"}
+
+
 def test_held_out_labels_are_not_learned_from(spark, toxic_rows):
     import zlib
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-#: Entries of one generation of a worker's memo of pre-tokens, and of space-separated stretches.
-PIECES, STRETCHES = 400_000, 300_000
+#: Bytes of one generation of a worker's memo of pre-tokens, and of space-separated stretches (estimated).
+PIECES, STRETCHES = 80_000_000, 60_000_000
 #: Characters of text that are encoded together.
 BLOCK = 2_000_000
 
@@ -167,38 +167,47 @@ class Merger:
 
 
 class Memo:
-    """Two generations of a dict: when the young one is full, it takes the old one's place.
+    """Two generations of a dict: when the young one holds ``most`` bytes, it takes the old one's place.
 
-    A worker serves one operator after the other: when one fills its memos, those of others go.
+    Keys over LONGEST are found until the next call only. A worker serves one operator after the
+    other: when one fills its memos, those of others go.
     """
 
+    #: The longest key that is kept, and the bytes that an entry and each of its key's characters are taken to need.
+    LONGEST, ENTRY, CHARACTER = 64, 200, 8
+
     _all: weakref.WeakSet = weakref.WeakSet()
     _owner: str | None = None
 
     def __init__(self, most: int, owner: str):
         self.young, self.old, self.most, self.owner = {}, {}, most, owner
+        self.held, self.passing = 0, []
         Memo._all.add(self)
 
+    def forget(self) -> None:
+        self.young, self.old, self.held, self.passing = {}, {}, 0, []
+
     def fill(self, keys: Iterable, make) -> dict:
         """The young generation, in which all the keys are then found."""
         if Memo._owner != self.owner:
             for other in list(Memo._all):
                 if other.owner != self.owner:
-                    other.young, other.old = {}, {}
+                    other.forget()
             Memo._owner = self.owner
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
+        for k in self.passing:
+            del self.young[k]
+        self.passing = []
+        if self.held >= self.most:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        absent = []
-        for k in keys:
-            if k not in young:
-                v = old.get(k)
-                if v is None:
-                    absent.append(k)
-                else:
-                    young[k] = v
+        absent = set(keys).difference(young)
         if absent:
-            young.update(zip(absent, make(absent), strict=True))
+            known = [k for k in absent if k in old]
+            young.update((k, old[k]) for k in known)
+            new = list(absent.difference(known))
+            young.update(zip(new, make(new), strict=True))
+            self.passing = [k for k in new if len(k) > self.LONGEST]
+            self.held += self.ENTRY * len(absent) + self.CHARACTER * (sum(map(len, absent)) - sum(map(len, self.passing)))
         return young
 
 

@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) is a local one made and set.
+    Only where the session names none and runs on one machine (tests, a laptop) is a local one made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-#: Rows of an Arrow batch: whole texts go to Python, so that few of them are held at once.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch: whole texts go to Python, so that few long ones are held at once.
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets the session's Arrow batches hold BATCH_ROWS rows at most; smaller settings stay."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lets the session's Arrow batches hold BATCH_BYTES at most; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 class Scratch:

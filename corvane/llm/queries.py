@@ -68,7 +68,8 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("longest_run")
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("n_runs", F.size("runs")).drop("runs")
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +105,18 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_i
 SELECT g.doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(reached) FROM r WHERE r.doc_id = g.doc_id) AS component_id FROM g""",
     "op8_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ln FROM l WHERE regexp_matches(line, '\S')),
-w AS (SELECT *, lead(line) OVER d AS following FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
-f AS (SELECT doc_id, pos, ln, len(regexp_split_to_array(trim(line, ' '), ' +')) >= 10 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, ln) > 1 AS single,
-  following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, ln) > 1 AS pair FROM w),
-m AS (SELECT doc_id, pos, single OR pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY ln), FALSE) AS gone FROM f),
-k AS (SELECT l.doc_id, l.pos, l.line, m.gone AS marked, coalesce(last_value(m.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos), FALSE) AS gone FROM l LEFT JOIN m ON l.doc_id = m.doc_id AND l.pos = m.pos),
-o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (marked) AS n_deleted FROM k GROUP BY doc_id)
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ln, len(regexp_split_to_array(trim(line, ' '), ' +')) AS words FROM l WHERE regexp_matches(line, '\S')),
+a AS (SELECT doc_id, list(line ORDER BY ln) AS lines, list(words ORDER BY ln) AS words FROM n GROUP BY doc_id),
+i AS (SELECT *, unnest(range(1, len(lines) + 1)) AS ln FROM a),
+w AS (SELECT doc_id, ln, size, lines[ln : ln + size - 1] AS part FROM i, range(1, 11) r(size) WHERE ln + size - 1 <= len(lines) AND list_sum(words[ln : ln + size - 1]) >= 10),
+c AS (SELECT doc_id, ln, size FROM w QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc_id, ln) > 1),
+m AS (SELECT DISTINCT doc_id, unnest(range(ln, ln + size)) AS ln FROM c),
+f AS (SELECT n.doc_id, n.pos, n.ln, m.ln IS NOT NULL AS gone FROM n LEFT JOIN m ON n.doc_id = m.doc_id AND n.ln = m.ln),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY ln), FALSE) AS begins FROM f),
+k AS (SELECT l.doc_id, l.pos, l.line, e.gone AS marked, e.begins, coalesce(last_value(e.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos), FALSE) AS gone FROM l LEFT JOIN e ON l.doc_id = e.doc_id AND l.pos = e.pos),
+o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (marked) AS n_deleted, count(*) FILTER (begins) AS n_runs FROM k GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text,
-  (CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE n_lines END)::INTEGER AS n_lines, coalesce(n_deleted, 0)::INTEGER AS n_deleted FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id""",
+  (CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE n_lines END)::INTEGER AS n_lines, coalesce(n_deleted, 0)::INTEGER AS n_deleted, coalesce(n_runs, 0)::INTEGER AS n_runs FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id""",
     "op7_warc_archives": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 s AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),

@@ -126,11 +126,31 @@ def test_media(spark, texts):
         payload = raw + b"\0" * (64 if not raw else -len(raw) % 64)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(media.wav(payload)), hashlib.sha256(media.wav(payload)).hexdigest())
+        picture = media.cover(payload)
+        stored = media.wav(payload, picture)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.media_type, r.corrected) == ("audio/wav", r.declared_type != "audio/wav") and r.declared_type == media.DECLARED[zlib.crc32(stored) % 3]
+        assert ("image/png", stored.index(picture), len(picture)) in list(map(tuple, r.embedded)) and hashlib.sha256(picture).hexdigest() in r.carved_sha256
+    assert {r.corrected for r in got.values()} == {True, False}
     same = [got[i].feature for i, t in enumerate(texts) if t == "same"]
     assert len(set(same)) == 1 and media.store_texts(frame(spark, [])).count() == 0
 
 
+def test_sniffing_takes_time_in_proportion():
+    import time
+
+    def took(part, n):
+        data = part * n
+        began = time.perf_counter()
+        media.sniff(data)
+        return time.perf_counter() - began
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda"
+    for part in (b"%PDF-", b"GIF89a" + b"a" * 7 + b",", jpeg, b"BM"):
+        took(part, 1000)
+        assert took(part, 64_000) < 40 * took(part, 8_000) + 0.2, part
+
+
 def test_sniffing(spark):
     import gzip
     import struct

@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 Lexicons are induced from a bounded sample of labelled rows: whole words and word beginnings that
-go with the label, and n-grams of runs that may hold several words (unspaced scripts, long runs).
-Many lexicon voters (the entries split by kind and strength, and dealt into
-several lists each) and pattern voters vote toxic, clean or not at all. A generative label model
-estimates each voter's accuracy by expectation maximization and, from the voters' agreement beyond
-what the label explains, which voters are correlated; correlated ones share their say. Its
-posterior labels train the linear classifier that scores every whole text.
+go with either label, and n-grams of runs that may hold several words (unspaced scripts, long runs).
+Many lexicon voters (the entries split by kind and strength, and dealt into several lists each) and
+pattern voters (masked and obfuscated words, stretched letters, shouting, outcries, address in the
+second person) vote toxic, clean or not at all. A generative label model, which sees the votes and
+no label, estimates each voter's accuracy by expectation maximization and, in each round anew, from
+the voters' agreement beyond what the latent label explains, how they are correlated; correlated
+ones share their say. Its posterior labels train the linear classifier that scores every whole text.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from .shared import small_batches
 
 #: Labelled rows of each label that fitting may look at, features kept, and the decision threshold.
 SAMPLE, FEATURES, THRESHOLD = 2500, 800, 0.7
+#: Bytes of one generation of a worker's memo of tokens.
+MEMO = 25_000_000
 #: Ridge of the classifier, relative to the mean loss.
-RIDGE = 0.1
+RIDGE = 0.002
+#: How much more often a lexicon voter must vote toxic on toxic texts than on clean ones.
+TELLING = 10
 #: Letters of the scripts that don't part words (Thai, Lao, Burmese, Khmer, Han, kana), and the marks among them.
 UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 WORD = re.compile(r"(?:[^\W\d_]+|[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ece\u102b-\u103e\u17b4-\u17d3]+)+")
@@ -38,7 +43,7 @@ LONG, GRAM = 41, 6
 
 
 def features_of(token: str) -> tuple[str, ...]:
-    """The words of a space-separated token, and the beginnings of at least three letters that each continues.
+    """The words of a space-separated token, the beginnings of at least three letters that each continues, and its patterns.
 
     Runs in unspaced scripts and of LONG letters or more have their n-grams of up to GRAM letters as well.
     """
@@ -49,7 +54,18 @@ def features_of(token: str) -> tuple[str, ...]:
         unspaced = UNSPACED.search(w)
         if unspaced or len(w) >= LONG:
             out += {"~" + w[i : i + n] for n in range(1 if unspaced else 2, GRAM + 1) for i in range(len(w) - n + 1)}
-    return tuple(out)
+    return (*out, *(name for name, pattern in PATTERNS.items() if pattern.search(token)))
+
+
+# Patterns of a space-separated token; each is a feature of its own.
+PATTERNS = {
+    "!masked": re.compile(r"[*#@$%&]{3,}|[^\W\d_][*#@$%]+[^\W\d_]?"),
+    "!obfuscated": re.compile(r"[^\W\d_][013457]+[^\W\d_]"),
+    "!stretched": re.compile(r"([^\W\d_])\1{2,}"),
+    "!shouted": re.compile(r"\b[A-Z]{4,}\b"),
+    "!outcry": re.compile(r"[!?]{2,}"),
+    "!you": re.compile(r"^\W*(?:you|your|you're|du|dich|dir|dein|deine|ihr|euch|tu|toi|ton|ta|vous|votre|tú|tus|usted|ustedes|vosotros)\W*$", re.I),
+}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -92,37 +108,48 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def induce_lexicon(texts: list[str | None], y: np.ndarray, most: int, least: int = 3) -> list[tuple[float, str]]:
-    """Features by strength of association with label 1: the lower end of their log odds ratio.
+def induce_lexicon(texts: list[str | None], y: np.ndarray, most: int, least: int = 3, label: int = 1) -> list[tuple[float, str]]:
+    """Features by strength of association with a label: the lower end of the log ratio of their rates.
 
-    Only features that may occur in ``least`` toxic texts are counted by name: a small table of
-    counts by hash goes before, so that memory is bounded by what recurs.
+    Rates are taken among all features of a label's texts, so that long texts don't make their
+    words look like the label's.
+
+    Only features that may occur in ``least`` texts of the label are counted by name: a small table
+    of counts by hash goes before, so that memory is bounded by what recurs.
     """
-    toxic = [t for t, label in zip(texts, y, strict=True) if label]
+    own = [t for t, other in zip(texts, y, strict=True) if other == label]
     table = np.zeros(1 << 22, np.uint16)
     place = lambda f: zlib.crc32(f.encode()) & (1 << 22) - 1
-    for t in toxic:
-        table[[place(f) for f in document_features(t)]] += 1
+    words = lambda t: [f for f in document_features(t) if f[0] != "!"]
+    n = m = 1  # features of the label's texts and of the others
+    for t in own:
+        found = words(t)
+        n += len(found)
+        table[[place(f) for f in found]] += 1
     pos, neg = Counter(), Counter()
-    for t in toxic:
-        pos.update(f for f in document_features(t) if table[place(f)] >= least)
+    for t in own:
+        pos.update(f for f in words(t) if table[place(f)] >= least)
     pos = Counter({f: a for f, a in pos.items() if a >= least})
-    for t, label in zip(texts, y, strict=True):
-        if not label:
-            neg.update(f for f in document_features(t) if f in pos)
-    n, m = max(1, len(toxic)), max(1, len(texts) - len(toxic))
+    for t, other in zip(texts, y, strict=True):
+        if other != label:
+            found = words(t)
+            m += len(found)
+            neg.update(f for f in found if f in pos)
     out = []
     for f, a in pos.items():
         b = neg[f]
-        ratio = math.log((a + 0.5) / (n - a + 0.5)) - math.log((b + 0.5) / (m - b + 0.5))
-        strength = ratio - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n - a + 0.5) + 1 / (m - b + 0.5))
+        ratio = math.log((a + 0.5) / n) - math.log((b + 0.5) / m)
+        strength = ratio - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if strength > 1.0:
             out.append((strength, f))
     return sorted(out, key=lambda x: (-x[0], x[1]))[:most]
 
 
-def make_voters(lexicon: list[tuple[float, str]]) -> list[Voter]:
-    """Lexicon voters by kind and strength, each dealt into three lists; pattern voters on how many entries occur."""
+def make_voters(lexicon: list[tuple[float, str]], docs: list[set[str]], y: np.ndarray) -> list[Voter]:
+    """Lexicon voters by kind and strength, each dealt into three lists, voters on how many entries occur, and pattern voters.
+
+    A lexicon voter is taken if it votes toxic TELLING times as often on the sample's toxic texts as on clean ones.
+    """
     voters = []
     for kind in "=^~":
         own = [f for _, f in lexicon if f[0] == kind]
@@ -132,32 +159,38 @@ def make_voters(lexicon: list[tuple[float, str]]) -> list[Voter]:
     strong = frozenset(f for _, f in lexicon[:200])
     if strong:
         voters += [Voter(strong, least, otherwise=-1) for least in (1, 2, 3)]
-    return voters
+
+    def telling(v: Voter) -> bool:
+        toxic = np.array([v.vote(d) > 0 for d in docs])
+        return toxic[y > 0].mean() >= TELLING * toxic[y == 0].mean()
+
+    voters = [v for v in voters if telling(v)]
+    return voters + [Voter(frozenset([name]), 1) for name in PATTERNS] if voters else []
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 50, settle: int = 5) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Posterior of label 1 for each row, the voters' accuracies, and the correlated pairs.
 
-    votes: rows x voters of 1, -1 and 0 (no vote, no evidence). The model: given the label, a voter
-    votes 1 or -1 with probabilities of its own; where voters whose votes correlate beyond the label
-    vote together, they share one say.
+    votes: rows x voters of 1, -1 and 0 (no vote). The model: given the latent label, a voter votes
+    1, -1 or 0 with probabilities of its own, so that not voting is evidence as well. From round ``settle`` on, each round also estimates the
+    voters' correlations given the label; where correlated voters vote together, they share one say.
     """
     n, k = votes.shape
-    hot = np.stack([votes == v for v in (1, -1)], axis=2).astype(float)
+    hot = np.stack([votes == v for v in (1, -1, 0)], axis=2).astype(float)
     fired = (votes != 0).astype(float)
     shared, pairs = np.ones((n, k)), []
-    post = np.clip(np.where((votes > 0).any(1), 0.9, 0.02), 0.01, 0.99)
-    theta = np.zeros((2, k, 2))
+    for_, against = (votes > 0).sum(1), (votes < 0).sum(1)
+    post = np.clip(np.where(for_ > against, 0.9, 0.02), 0.01, 0.99)
+    theta = np.zeros((2, k, 3))
     for turn in range(rounds):
         for label, w in ((1, post), (0, 1 - post)):
             theta[label] = (np.tensordot(w, hot, (0, 0)) + 0.5) / (w.sum() + 1.5)
-        if turn == rounds // 2:  # once the labels are settled: correlations beyond them
+        if turn >= settle:
             mean = theta[:, :, 0] - theta[:, :, 1]
             rest = votes - post[:, None] * mean[1] - (1 - post[:, None]) * mean[0]
             c = np.abs(np.cov(rest.T) / (np.outer(rest.std(0), rest.std(0)) + 1e-9))
             np.fill_diagonal(c, 0)
             c[c <= 0.2] = 0
-            c[-1] = c[:, -1] = 0  # the last voter is asked for itself
             pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(c)), strict=True)]
             shared = 1 + fired @ c
         lift = np.log(theta[1]) - np.log(theta[0])
@@ -191,25 +224,22 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None)
     lexicon = induce_lexicon(texts, y, FEATURES)
     names = [f for _, f in lexicon]
     index = {f: i for i, f in enumerate(names)}
-    docs = [document_features(t) & index.keys() for t in texts]
-    voters = make_voters(lexicon)
+    docs = [document_features(t) & (index.keys() | PATTERNS.keys()) for t in texts]
+    voters = make_voters(lexicon, docs, y)
     if not voters:
         return Model(bias=math.log(prior / (1 - prior)))
     votes = np.array([[v.vote(d) for v in voters] for d in docs], np.int8)
-    # the given labels vote too, as one more voter of unknown accuracy
-    post, accuracies, pairs = label_model(np.hstack([votes, (2 * y[:, None] - 1).astype(np.int8)]), float(y.mean()))
+    # the label model sees no label: it finds the two classes in the votes
+    post, accuracies, pairs = label_model(votes, float(y.mean()))
     x = np.zeros((len(docs), len(names)), np.float32)
     for r, d in enumerate(docs):
-        x[r, [index[f] for f in d]] = 1
+        x[r, [index[f] for f in d if f in index]] = 1
     x = np.hstack([x, (votes > 0).astype(np.float32)])  # the voters' toxic votes are features of a text as well
-    # rows weigh as much as their label does under the prior
-    weight = np.where(y > 0, prior / y.mean(), (1 - prior) / (1 - y.mean()))
+    # rows weigh as much as their class does under the prior
+    share = min(0.99, max(0.01, float(post.mean())))
+    weight = post * prior / share + (1 - post) * (1 - prior) / (1 - share)
     w, b = train_linear(x, post.astype(np.float32), weight)
-    # the labels only set the scale of the score: two numbers
-    z = x @ w + b
-    s, b2 = train_linear(((z - z.mean()) / (z.std() + 1e-9))[:, None].astype(np.float32), y, weight, l2=1e-4)
-    scale = float(s[0]) / (float(z.std()) + 1e-9)
-    return Model(float(scale * (b - z.mean()) + b2), {f: float(scale * v) for f, v in zip(names, w, strict=False)}, voters, (scale * w[len(names) :]).tolist(), accuracies.tolist(), pairs)
+    return Model(b, {**dict.fromkeys(PATTERNS, 0.0), **{f: float(v) for f, v in zip(names, w, strict=False)}}, voters, w[len(names) :].tolist(), accuracies.tolist(), pairs)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> tuple[list, list, float]:
@@ -220,7 +250,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     ids = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in picks], "id long, y int")
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = own.join(F.broadcast(ids), "id").select("id", "text", "y").dropDuplicates(["id"]).collect()  # bounded: 2 x most rows
+    rows = own.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # bounded: 2 x most rows
     rows.sort(key=lambda r: r["id"])
     return [r["text"] for r in rows], [r["y"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))
 
@@ -258,7 +288,7 @@ def memo_of(model: Model) -> Memo:
     """A worker's memo for the model, kept between batches."""
     if id(model) not in _memos:
         _memos.clear()
-        _memos[id(model)] = model, Memo(100_000, "toxicity")
+        _memos[id(model)] = model, Memo(MEMO, "toxicity")
     return _memos[id(model)][1]
 
 
@@ -277,7 +307,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score, predicted: one row per input row.
 
     labels: doc_id, toxic; only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from, at
-    most ``sample`` of each label. Null and empty texts get the score of a text without features.
+    most ``sample`` of each label. A repeated id is learned from once, by its least text and its
+    largest label. Whole texts are read, however long. Null and empty texts get the score of a text without features.
     Without labels of both kinds every score is 0 (or 1 if all are toxic). Repeated rows are scored
     alike; null ids are scored and not held out; an empty table gives an empty result.
     """

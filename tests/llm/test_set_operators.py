@@ -80,11 +80,10 @@ def near_copies(seed, groups, sizes, copies):
     return rows
 
 
-@pytest.mark.parametrize(("words", "least", "blocks"), [(4, 85, (1_000_000, 2000)), (5, 80, (600, 4))])
+@pytest.mark.parametrize(("words", "least", "blocks"), [(4, 85, (500_000, 500, 1000)), (5, 80, (600, 4, 2))])
 def test_jaccard(spark, monkeypatch, words, least, blocks):
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", blocks[0])
-    monkeypatch.setattr(jaccard, "BLOCK_DOCS", blocks[1])
-    monkeypatch.setattr(jaccard, "LONG", 6)
+    for name, value in zip(("BLOCK_SHINGLES", "BLOCK_DOCS", "CHUNK"), blocks, strict=True):
+        monkeypatch.setattr(jaccard, name, value)
     rows = near_copies(words, 30, [1, 3, 4, 8, 12, 14, 15, 16, 17, 18, 20, 25, 40, 150], [1, 2, 5, 25])
     rows += [(900_001, None), (900_002, ""), (900_003, " \n"), (900_004, "x"), (900_005, "X"), (900_006, "x\u00a0y")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, label string")
@@ -92,28 +91,73 @@ def test_jaccard(spark, monkeypatch, words, least, blocks):
     assert {tuple(r) for r in got} == brute_components(rows, words, least, 100)
 
 
-def test_jaccard_pairs_across_families(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "components", lambda links, scratch: real(links.limit(0) if "leader" not in links.columns and not called.append(1) and len(called) == 1 else links, scratch))
-    called = []
-    from corvane.llm.components import components as real
-
-    rows = near_copies(9, 8, [14, 30, 60], [6])
+def test_jaccard_within_families(spark, monkeypatch):
+    """No star at all: every link is found by the scans of the families' blocks."""
+    monkeypatch.setattr(jaccard, "stars", lambda scratch, entries, least, of: real(scratch, entries, least, of).limit(0))
+    real = jaccard_stars
+    rows = near_copies(9, 8, [14, 30, 60], [6]) + shared_passages(5, 60)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, least=85, of=100).collect()
-    assert {tuple(r) for r in got} == brute_components(rows, 4, 85, 100)  # no family at all: every pair is compared across
+    assert {tuple(r) for r in got} == brute_components(rows, 4, 85, 100)
+
+
+jaccard_stars = jaccard.stars
+
 
+def shared_passages(seed, docs):
+    """Documents of one long common passage, cut and edited in many ways, and of their own words."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(120)]
+    out = []
+    for i in range(docs):
+        lo, hi = rng.randint(0, 15), rng.randint(100, 120)
+        w = passage[lo:hi] + [f"own{i}x{k}" for k in range(rng.choice([0, 3, 10, 40]))]
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 9)}"
+        out.append((10_000 + i, " ".join(w)))
+    return out
 
-@pytest.mark.parametrize(("least", "light"), [(85, 13), (80, 9)])
-def test_similar_sizes_share_keys(least, light):
+
+@pytest.mark.parametrize(("words", "least", "partition"), [(5, 80, 40), (4, 85, 2_000_000)])
+def test_jaccard_of_a_common_passage(spark, monkeypatch, words, least, partition):
+    monkeypatch.setattr(jaccard, "PARTITION", partition)  # the passage's lists span partitions
+    rows = shared_passages(words, 120) + near_copies(2, 5, [30], [5])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=words, least=least, of=100).collect()
+    assert {tuple(r) for r in got} == brute_components(rows, words, least, 100)
+
+
+@pytest.mark.parametrize("least", [85, 80, 50])
+def test_similar_sizes_share_keys(least):
     scheme, rng = jaccard.Scheme(least, 100), np.random.default_rng(least)
-    assert scheme.light == light
-    for n in range(1, 3 * light):
+    for n in [*range(1, 3 * scheme.light + 30), 400]:
         for m in range(n, n * 100 // least + 1):
-            s = rng.integers(0, 2**64, m, np.uint64, endpoint=False)
-            common = np.intersect1d(scheme.keys(np.sort(s[:n])), scheme.keys(np.sort(s)))
-            by_kind = defaultdict(int)
-            for key in common:
-                by_kind[key & np.uint64(255)] += jaccard.SHARED if key & np.uint64(1) else 1
-            assert max(by_kind.values(), default=0) >= jaccard.SHARED, (n, m)
+            s = rng.integers(0, 2**64, n + m, np.uint64, endpoint=False)
+            both = scheme.overlap(n, m)
+            if both > n:
+                continue
+            a, b = np.sort(s[:n]), np.sort(np.concatenate([s[:both], s[n : n + m - both]]))
+            common = np.intersect1d(scheme.keys(a), scheme.keys(b))
+            odd = int((common & np.uint64(1)).sum())
+            if n <= scheme.light and m <= scheme.light:
+                assert odd, (n, m)
+            else:
+                assert len(common) - odd >= max(1, min(scheme.lookups(n)[1], scheme.lookups(m)[1])), (n, m)
+
+
+def test_counted_keys(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, 2, 2, 3, 5, 8]) * rng.choice([1, 1, 100, 1000 + i]), i, 7) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key long, doc long, n long")
+    counts = defaultdict(int)
+    for key, _, _ in rows:
+        counts[key] += 1
+    got = defaultdict(set)
+    for r in jaccard.counted_keys(df, 0).collect():
+        got[r["key"]].add(r["count"])
+    assert all(len(c) == 1 for c in got.values())  # the same in all rows of a key
+    assert all(c in ({counts[k]}, {jaccard.OFTEN}) for k, c in got.items())
+    assert got.keys() >= {k for k, c in counts.items() if c > 1}
+    shared = {r["key"] for r in jaccard.shared_keys(df, 0).collect()}
+    assert shared >= {k for k, c in counts.items() if c > 1 and k % 2}
 
 
 @pytest.mark.parametrize(("words", "least", "short", "more"), [(4, 85, 15, 2), (5, 80, 12, 2)])
@@ -132,26 +176,42 @@ def test_jaccard_edges(spark):
     assert sorted(str(r.doc_id) for r in jaccard.keep_one(df).collect()) == ["1", "1", "None"]
 
 
+def test_jaccard_texts_of_one_id(spark):
+    """They are one document, linked by any of its texts."""
+    text = lambda a: " ".join(f"{a}{i}" for i in range(30))
+    rows = [(5, text("a")), (5, text("b")), (3, text("b") + " c"), (4, text("a")), (9, text("z"))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (3, 3), (4, 3), (9, 9)}
+
+
 def brute_lines(rows, min_words=10):
-    seen_one, seen_two, out = set(), set(), {}
-    for i, t in sorted({(i, t or "") for i, t in rows}):
-        lines = t.split("\n")
-        own = [k for k, line in enumerate(lines) if re.search(r"\S", line)]
-        gone = set()
-        for a, k in enumerate(own):
-            if lines[k] in seen_one and len(re.split(" +", lines[k].strip(" "))) >= min_words:
-                gone.add(k)
-            seen_one.add(lines[k])
-            if a + 1 < len(own):
-                pair = lines[k], lines[own[a + 1]]
-                gone |= {k, own[a + 1]} if pair in seen_two else set()
-                seen_two.add(pair)
-        keep, went = [], False
-        for k, line in enumerate(lines):
-            went = k in gone if k in own else went
+    """text, number of deleted lines and runs (line, lines, first copy's document and line) of each document."""
+    seen, out = {}, {}
+    docs = sorted({(i, t or "") for i, t in rows})
+    own = {i: [line for line in t.split("\n") if re.search(r"\S", line)] for i, t in docs}
+    for i, t in docs:
+        for a in range(len(own[i])):
+            for n in range(1, 13):
+                if a + n <= len(own[i]):
+                    seen.setdefault(tuple(own[i][a : a + n]), (i, a))
+    for i, t in docs:
+        runs = []
+        for a in range(len(own[i])):
+            for n in range(1, min(12, len(own[i]) - a) + 1):
+                part = own[i][a : a + n]
+                if seen[tuple(part)] != (i, a) and sum(len(re.split(" +", x.strip(" "))) for x in part) >= min_words:
+                    if runs and a <= runs[-1][0] + runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], a + n - runs[-1][0])
+                    else:
+                        runs.append([a, n, *seen[tuple(part)]])
+        gone = {x for a, n, *_ in runs for x in range(a, a + n)}
+        keep, went, at = [], False, 0
+        for line in t.split("\n"):
+            if re.search(r"\S", line):
+                went, at = at in gone, at + 1
             if not went:
                 keep.append(line)
-        out[i] = "\n".join(keep), len(gone)
+        out[i] = "\n".join(keep), len(gone), [tuple(r) for r in runs]
     return out
 
 
@@ -165,20 +225,32 @@ def test_line_dedup_counts_words_without_spaces(spark):
     assert got[1].text == "\n".join([f"own 1 {k}" for k in range(len(gone))] + [x for k, line in enumerate(kept, len(gone)) for x in (line, f"own 1 {k}")])
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("partition", [500_000, 7])
+def test_line_dedup(spark, monkeypatch, partition):
+    monkeypatch.setattr(linededup, "PARTITION", partition)  # intervals go over partitions
     rng = random.Random(4)
     words = "one two three four five six seven eight nine ten"
-    pool = ["a", "b", "c", "", "  ", words, words + " b", "d e", "\tx"]
+    pool = ["a", "b b", "c c c", "", "  ", words, words + " b", "d e", "\tx"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(60)]
-    rows += [(100, "l\n" * 40), (101, "l\n" * 40), (102, ""), (103, None), (104, "u1\nu2\nu3\nu4\nu5"), (105, "x\nu1\nu2\nu3\nu4\nu5\ny")]
-    df = spark.createDataFrame([(*r, 7) for r in [*rows, rows[0]]], "doc_id long, text string, at int")
+    rows += [(100, "l\n" * 40), (101, "l\n" * 40), (102, ""), (103, None), (104, "\n".join(f"u{i} {i}" for i in range(30))), (105, "x\n" + "\n\n".join(f"u{i} {i}" for i in range(3, 25)) + "\ny")]
+    df = spark.createDataFrame([(*r, 7, 8, 9) for r in [*rows, rows[0]]], "doc_id long, text string, at int, n_lines int, row int")
     got = linededup.dedup_lines(df).collect()
     want = brute_lines(rows)
-    assert len(got) == len(rows) + 1 and got[0].asDict().keys() == {"doc_id", "text", "at", "n_lines", "n_deleted", "longest_run"}
+    assert len(got) == len(rows) + 1 and got[0].asDict().keys() == {"doc_id", "text", "at", "row", "n_lines", "n_deleted", "runs"}
     for r in got:
-        assert ((r.text or "", r.n_deleted) == want[r.doc_id]) and (r.text is None) == (r.doc_id == 103), r.doc_id
-    assert {r.doc_id: r.longest_run for r in got}[105] == 4
+        text, n, runs = want[r.doc_id]
+        assert (r.text or "", r.n_deleted) == (text, n) and (r.text is None) == (r.doc_id == 103), r.doc_id
+        assert [x[:2] for x in map(tuple, r.runs)] == [x[:2] for x in runs] and r.at == 7 and r.row == 9, r.doc_id
+    assert {r.doc_id: list(map(tuple, r.runs)) for r in got}[105] == [(1, 22, 104, 3)]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+    left = {r.doc_id for r in linededup.dedup_lines(df, drop_emptied=True).collect()}
+    assert left == {i for i, (text, n, _) in want.items() if not n or text.strip()}
+
+
+def test_line_dedup_of_a_very_long_line(spark):
+    rows = [(1, "w " * 200_000), (2, "own words\n" + "w " * 200_000)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "own words"}
 
 
 @pytest.fixture(scope="module")
@@ -227,6 +299,21 @@ def test_toxicity_behind_the_first_letters_of_a_run(letters, bad):
 def test_long_words_differ_by_their_last_letters():
     assert "=" + "x" * 50 + "y" in toxicity.features_of("x" * 50 + "y") and toxicity.features_of("x" * 50 + "y") != toxicity.features_of("x" * 50 + "z")
     assert set(toxicity.features_of("Hello")) == {"=hello", "^hel", "^hell"}
+    marks = lambda t: {f for f in toxicity.features_of(t) if f[0] == "!"}
+    assert [marks(t) for t in ("f***k", "1d10t", "noooo", "LOUD", "what?!", "(You,")] == [{"!masked"}, {"!obfuscated"}, {"!stretched"}, {"!shouted"}, {"!outcry"}, {"!you"}]
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    votes = np.zeros((4000, 7), np.int8)
+    for k, (hit, miss) in enumerate([(0.8, 0.02), (0.7, 0.02), (0.6, 0.01), (0.7, 0.05), (0.5, 0.05)]):
+        votes[:, k] = np.where(y, rng.random(4000) < hit, rng.random(4000) < miss)
+    votes[:, 5] = np.where(rng.random(4000) < 0.95, votes[:, 0], 0)  # a copy
+    votes[:, 6] = rng.random(4000) < 0.3  # noise
+    post, accuracies, pairs = toxicity.label_model(votes, 0.3)
+    assert ((post > 0.5) == y).mean() > 0.95 and (0, 5) in pairs
+    assert accuracies[:3].min() > 0.9 and accuracies[6] < 0.5
 
 
 def test_held_out_labels_are_not_learned_from(spark, toxic_rows):

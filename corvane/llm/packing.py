@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Stretches, read_ranks
+from .bpe import read_ranks
 from .shared import Scratch
 
 CAPACITY, END_ID = 1024, 2
@@ -63,16 +63,25 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 @lru_cache(2)
-def _token_stretches(json_path: str, ranks_path: str, pattern: str) -> tuple[Stretches, Callable[[str], bytes]]:
-    """The tokenizer file's ids: by its library where its special tokens' strings occur, else by the same vocabulary's ranks."""
+def _encoders(json_path: str, ranks_path: str, pattern: str) -> tuple[Callable[[str], bytes], Callable[[str], bytes]]:
+    """A whole text's ids as little-endian unsigned 32-bit integers: by the vocabulary's ranks, and by the tokenizer file's library."""
     import numpy as np
     import tiktoken
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(json_path)
-    ranks = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
-    return Stretches(lambda texts: [pack(ranks(t)) for t in texts], "packing"), lambda text: pack(whole.encode(text, add_special_tokens=False).ids)
+    ranks = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+
+    def by_library(text: str) -> bytes:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def by_ranks(text: str) -> bytes:
+        try:
+            return ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # its regular expressions give up on some ten million white spaces in a row
+            return by_library(text)
+
+    return by_ranks, by_library
 
 
 @lru_cache(2)
@@ -97,15 +106,13 @@ def tokenize(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_
     """The pieces of each document, numbered by length inside their partition (part, rank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (stretches, by_library), special = _token_stretches(json_path, ranks_path, pattern), _special(json_path)
+        (by_ranks, by_library), special = _encoders(json_path, ranks_path, pattern), _special(json_path)
         part, seen, end = TaskContext.get().partitionId(), {}, end_id.to_bytes(4, "little")
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            odd = {k: by_library(t) for k, t in enumerate(texts) if any(x in t for x in special)}
-            ids = stretches.encode(["" if k in odd else t for k, t in enumerate(texts)])
             rows: list[tuple] = []
-            for k, (doc, x) in enumerate(zip(batch.column(0).to_pylist(), ids, strict=True)):
-                x = odd.get(k, x) + end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = text.as_py() or ""
+                x = (by_library if any(s in t for s in special) else by_ranks)(t) + end
                 for piece, (start, length) in enumerate(cut(len(x) // 4, capacity)):
                     rank = seen.get(length, 0)
                     seen[length] = rank + 1

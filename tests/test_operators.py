@@ -29,7 +29,16 @@ def test_chapters():
     assert [c["title"] for c in got] == ["前言", "第一章 开始", "第二章 结束"]
     assert [c["title"] for c in chapters.chapters_of("x" * 600 + "\n" + ZH)][0] == chapters.OPENING
     assert chapters.chapters_of("plain")[0] == {"index": 1, "title": chapters.WHOLE, "start": 0, "end": 5, "chars": 5}
-    assert [c["title"] for c in chapters.chapters_of("😀 a Alpha b" + "x" * 90 + "Beta" + "y" * 90 + "Gamma", ["Alpha", "Beta", "Gamma", " "])] == ["Alpha", "Beta", "Gamma"]
+
+
+def test_known_titles(spark):
+    text = "😀 Gamma a Alpha b" + "x" * 90 + "Beta" + "y" * 90 + "Gamma"
+    df = spark.createDataFrame([(text, ["Alpha", None, " Beta ", "Gamma", " ", "Beta", "z" * 200]), (text, None), (text, ["Gamma", "Beta"])], "t string, k array<string>")
+    marks = [[tuple(m) for m in r.m] for r in df.select(chapters.located(F.col("t"), F.col("k")).alias("m")).collect()]
+    assert marks[0] == [(text.index("Alpha"), "Alpha"), (text.index("Beta"), "Beta"), (text.rindex("Gamma"), "Gamma")] and marks[1] == []
+    assert marks[2] == [(2, "Gamma"), (text.index("Beta"), "Beta")]
+    got = df.select(chapters.detect_chapters(F.col("t"), F.col("k")).alias("c")).collect()
+    assert [c.title for c in got[0].c] == ["Alpha", "Beta", "Gamma"] and [c.title for c in got[1].c] == [chapters.WHOLE]
 
 
 @settings(max_examples=60, deadline=None)
@@ -41,19 +50,37 @@ def test_chapters_cover_the_text(parts):
     assert all(a["end"] == b["start"] for a, b in zip(got, got[1:], strict=False))
 
 
-def test_volumes():
+def test_volumes(spark):
     names = "一二三四五六七八九"
     number = lambda n: names[n - 1] if n < 10 else ("" if n < 20 else names[n // 10 - 1]) + "十" + (names[n % 10 - 1] if n % 10 else "")
     first = "".join(f"第{number(n)}章 a\n第一回出远门。" for n in range(1, 23))
     text = first + "".join(f"第{number(n)}章 b\n" for n in range(1, 6))
-    assert chapters.volume_starts(text) == [0, len(first)]
-    assert [chapters.numeral(x) for x in ("十", "二百零三")] == [10, 203]
+    early = "".join(f"第{number(n)}章 a\n" for n in (*range(1, 20), 1, 2))
+    alone = first + "第一章 c\n第九章 d\n"
+    df = spark.createDataFrame([(1, text), (2, early), (3, alone), (4, ""), (5, None)], "i int, t string")
+    got = {r.i: list(r.v) for r in df.select("i", chapters.volume_starts(F.col("t")).alias("v")).collect()}
+    assert got == {1: [0, len(first)], 2: [0], 3: [0], 4: [0], 5: [0]}
 
 
 def test_volume_chunks_are_the_text(spark):
     text = ("一句话。" * 200) + "M2" + ("另一句话。" * 100)
-    got = chapters.chunk_volumes(spark.createDataFrame([(1, text)], "book_id long, text string"), 5, markers=["M2"]).orderBy("k").collect()
-    assert "".join(r.body for r in got) == text and [r.vol for r in got] == [1, 1, 1, 2, 2]
+    books = spark.createDataFrame([(1, "front" + text), (2, "M2 alone")], "book_id long, text string")
+    got = chapters.chunk_volumes(books, [3, 2], markers=["M2", "absent"], skip_to="一句").orderBy("book_id", "k").collect()
+    own = [r for r in got if r.book_id == 1]
+    assert "".join(r.body for r in own) == text and [r.vol for r in own] == [1, 1, 1, 2, 2] and [r.k for r in own] == [1, 2, 3, 4, 5]
+    assert own[0].start == 5 and all(("front" + text)[r.start : r.end] == r.body for r in own) and all(r.body.endswith(("。", "M2")) for r in own[:-1])
+    assert [(r.k, r.error) for r in got if r.book_id == 2] == [(None, "2 episode counts for 1 volumes")]  # one book's mismatch is that book's row
+    assert [x["k"] for x in chapters.volume_map(chapters.chunk_volumes(books, 5, markers=["M2"])).filter("book_id = 1").first().chunks] == [1, 2, 3, 4, 5]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab。", max_size=120), st.integers(1, 6), st.integers(1, 30))
+def test_cuts_are_the_nearest_sentence_ends(text, n, window):
+    got = chapters.cuts(text, 0, len(text), n, window)
+    for j in range(1, n):
+        target = len(text) * j // n
+        ends = [p for p in range(1, len(text)) if text[p - 1] == "。" and abs(p - target) < window]
+        assert got[j] == min(ends, key=lambda p: (abs(p - target), -p), default=target)
 
 
 @settings(max_examples=60, deadline=None)

@@ -54,18 +54,26 @@ def features_of(token: str) -> tuple[str, ...]:
         unspaced = UNSPACED.search(w)
         if unspaced or len(w) >= LONG:
             out += {"~" + w[i : i + n] for n in range(1 if unspaced else 2, GRAM + 1) for i in range(len(w) - n + 1)}
-    return (*out, *(name for name, pattern in PATTERNS.items() if pattern.search(token)))
+    return (*out, *patterns_of(token))
 
 
-# Patterns of a space-separated token; each is a feature of its own.
+# Patterns of a space-separated token; each is a feature of its own. The first four ask for other signs than small letters.
 PATTERNS = {
     "!masked": re.compile(r"[*#@$%&]{3,}|[^\W\d_][*#@$%]+[^\W\d_]?"),
     "!obfuscated": re.compile(r"[^\W\d_][013457]+[^\W\d_]"),
-    "!stretched": re.compile(r"([^\W\d_])\1{2,}"),
     "!shouted": re.compile(r"\b[A-Z]{4,}\b"),
     "!outcry": re.compile(r"[!?]{2,}"),
-    "!you": re.compile(r"^\W*(?:you|your|you're|du|dich|dir|dein|deine|ihr|euch|tu|toi|ton|ta|vous|votre|tú|tus|usted|ustedes|vosotros)\W*$", re.I),
+    "!stretched": re.compile(r"([^\W\d_])\1{2,}"),
 }
+# Address in the second person.
+SECOND = {"you", "your", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "ton", "ta", "vous", "votre", "tú", "tus", "usted", "ustedes", "vosotros"}
+PATTERN_NAMES = [*PATTERNS, "!you"]
+
+
+def patterns_of(token: str) -> list[str]:
+    plain = token.islower() and token.isalpha()
+    found = [name for name, pattern in PATTERNS.items() if not (plain and name != "!stretched") and pattern.search(token)]
+    return [*found, "!you"] if token.strip(".,;:!?()\"'").lower() in SECOND else found
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,7 +173,7 @@ def make_voters(lexicon: list[tuple[float, str]], docs: list[set[str]], y: np.nd
         return toxic[y > 0].mean() >= TELLING * toxic[y == 0].mean()
 
     voters = [v for v in voters if telling(v)]
-    return voters + [Voter(frozenset([name]), 1) for name in PATTERNS] if voters else []
+    return voters + [Voter(frozenset([name]), 1) for name in PATTERN_NAMES] if voters else []
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50, settle: int = 5) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -224,7 +232,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None)
     lexicon = induce_lexicon(texts, y, FEATURES)
     names = [f for _, f in lexicon]
     index = {f: i for i, f in enumerate(names)}
-    docs = [document_features(t) & (index.keys() | PATTERNS.keys()) for t in texts]
+    docs = [document_features(t) & (index.keys() | set(PATTERN_NAMES)) for t in texts]
     voters = make_voters(lexicon, docs, y)
     if not voters:
         return Model(bias=math.log(prior / (1 - prior)))
@@ -239,7 +247,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None)
     share = min(0.99, max(0.01, float(post.mean())))
     weight = post * prior / share + (1 - post) * (1 - prior) / (1 - share)
     w, b = train_linear(x, post.astype(np.float32), weight)
-    return Model(b, {**dict.fromkeys(PATTERNS, 0.0), **{f: float(v) for f, v in zip(names, w, strict=False)}}, voters, w[len(names) :].tolist(), accuracies.tolist(), pairs)
+    return Model(b, {**dict.fromkeys(PATTERN_NAMES, 0.0), **{f: float(v) for f, v in zip(names, w, strict=False)}}, voters, w[len(names) :].tolist(), accuracies.tolist(), pairs)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> tuple[list, list, float]:

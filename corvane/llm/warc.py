@@ -133,7 +133,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     # only ids and digests meet the heads; the payloads are shuffled once, by page id
     revisits = keyed.select("page_id", "sha1").join(heads, "sha1").filter("page_id <> head").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("sha1", "head"))).alias("heads"))
     n = max(1, -(-int(total) // archive_bytes), -(-int(rows) // 200_000))
-    referred = keyed.repartition(n, "page_id").join(revisits, "page_id", "left").withColumn("refers_to", F.try_element_at("heads", F.col("sha1")))
+    # rows without an id are dealt by their content, so that no archive takes all of them
+    place = F.coalesce("page_id", F.xxhash64("sha1", "url"))
+    dealt = keyed.withColumn("place", place).repartition(n, "place").join(revisits.withColumnRenamed("page_id", "place"), "place", "left")
+    referred = dealt.withColumn("refers_to", F.when(F.col("page_id").isNotNull(), F.try_element_at("heads", F.col("sha1"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -118,11 +118,21 @@ def detect_language(text: Column, sample: int | None = None) -> Column:
     return let(script_counts(own), lambda c: let(words, lambda w: let(stopword_votes(w), lambda r: verdict(c, r))))
 
 
+def with_field(struct: Column, name: str, value: Column) -> Column:
+    return let(struct, lambda s: s.withField(name, value))
+
+
+def forced_language(found: Column, code: str) -> Column:
+    """The verdict that a caller gives, with the scripts that were found."""
+    return let(found, lambda s: F.struct(F.lit(code).alias("code"), F.lit(LANGUAGE_NAMES.get(code, code)).alias("name"), F.lit(1.0).alias("confidence"), s["scripts"].alias("scripts"), F.lit(True).alias("forced")))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+# Fixed value: the format of page-number lines.
 PAGE_NUMBER = r"^[ \t\x{a0}]*[-—–\[(]?[ \t\x{a0}]*[0-9]{1,4}[ \t\x{a0}]*[-—–\])]?[ \t\x{a0}]*$"
 
 
@@ -158,6 +168,7 @@ def reading_minutes(text: Column, language: Column) -> Column:
 
 def clean_for_speech(text: Column) -> Column:
     """Drops what would be read aloud: stage directions, sound tags and Markdown marks. The order matters."""
+    # What speech leaves out.
     steps = [
         (r"[（(]\s*(?:笑|停顿|轻笑|叹气|sigh|laughs?|pause)\s*[)）]", "…"),
         (r"[\[【]\s*(?:BGM|音效|SFX|sfx)[^\]】]*[\]】]", ""),
@@ -169,6 +180,7 @@ def clean_for_speech(text: Column) -> Column:
     return F.trim(text)
 
 
+# Fixed value: where sentences end.
 SENTENCE_END = r"(?U)(?<=[。！？!?；;…])\s*|(?<=[.!?])\s+(?=[A-Z\"'“])"
 
 
@@ -209,9 +221,9 @@ def safe_name(name: Column) -> Column:
 
 
 def episode_id(given: Column) -> Column:
-    """``3`` and ``03`` become ``ep03``; ids stay."""
+    """``3`` and ``03`` become ``ep03``, ``123`` becomes ``ep123``; ids stay."""
     g = F.lower(F.trim(given))
-    return F.when(g.rlike("^[0-9]+$"), F.concat(F.lit("ep"), F.lpad(g, 2, "0"))).otherwise(g)
+    return F.when(g.rlike("^[0-9]+$"), F.concat(F.lit("ep"), F.lpad(g, F.greatest(F.length(g), F.lit(2)), F.lit("0")))).otherwise(g)
 
 
 def score_of(raw: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,14 +13,19 @@ def risk_class(kind: Column, expired: Column) -> Column:
 
 
 def storage_audit(storage: DataFrame, now: str, retention_days: int = 90) -> DataFrame:
-    """repo, kind, risk, n, bytes, share: storage (repo, kind, size_in_bytes, created_at, optional expired) in total by risk.
+    """repo, kind, risk, n, bytes, share of the repo's bytes: storage (repo, kind, size_in_bytes, created_at, optional expired) by risk.
 
     Where expired isn't given, a row is expired once it is older than the retention.
     """
     age = F.col("created_at") < F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(retention_days))
     expired = F.coalesce(F.col("expired"), age) if "expired" in storage.columns else age
     by = storage.groupBy("repo", "kind", risk_class(F.col("kind"), expired).alias("risk")).agg(F.count("*").alias("n"), F.sum("size_in_bytes").alias("bytes"))
-    return by
+    return by.withColumn("share", F.col("bytes") / F.nullif(F.sum("bytes").over(W.partitionBy("repo")), F.lit(0)))
+
+
+def scanned_repos(repos: DataFrame) -> DataFrame:
+    """Repositories (repo, total_count) that have anything to list."""
+    return repos.filter("total_count > 0")
 
 
 def largest_consumer(storage: DataFrame) -> DataFrame:
@@ -38,6 +44,27 @@ def segment_audit(expected: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("episode", "line_no", problem.alias("problem")).filter("problem is not null")
 
 
+def empty_segment_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """episode, line_no, speaker, text of the lines whose segment file (episode, path, length) is empty; seg_0007 is line 6."""
+    empty = files.filter("length = 0").select("episode", (F.regexp_extract("path", r"seg_(\d+)[^/]*$", 1).try_cast("int") - 1).alias("line_no")).filter("line_no is not null").distinct()
+    return lines.join(empty, ["episode", "line_no"]).select("episode", "line_no", "speaker", "text")
+
+
+def segments_ready(problems: DataFrame, episodes: DataFrame) -> DataFrame:
+    """episode, n_problems, ready of all episodes: a manifest may be written only without missing and empty segments."""
+    bad = problems.filter("problem in ('missing', 'empty')").groupBy("episode").agg(F.count("*").alias("n_problems"))
+    n = F.coalesce("n_problems", F.lit(0))
+    return episodes.select("episode").distinct().join(bad, "episode", "left").select("episode", n.alias("n_problems"), (n == 0).alias("ready"))
+
+
+def extraction_checks(extracted: DataFrame, tolerance: float = 10.0) -> DataFrame:
+    """id, rule of extracted (id, declared, chars, n_images, n_empty): length of another order of magnitude, no images, empty chapters."""
+    ratio = F.col("chars") / F.nullif(F.col("declared"), F.lit(0))
+    rules = {"length": ~F.coalesce(ratio.between(1 / tolerance, tolerance), F.lit(False)), "images": F.coalesce("n_images", F.lit(0)) == 0, "empty_chapter": F.coalesce("n_empty", F.lit(0)) > 0}
+    found = F.array(*[F.when(hit, F.lit(name)) for name, hit in rules.items()])
+    return extracted.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("rule"))
+
+
 def file_counts(files: DataFrame) -> DataFrame:
     """folder, n_files, n_empty, bytes of files (path, length)."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)

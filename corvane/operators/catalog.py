@@ -2,49 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-#: Characters of a gram that both sides must share, rows up to which a baseline may be broadcast.
-GRAM, SMALL = 8, 10_000
+from corvane.scratch import settled
 
+#: Characters of the anchor by which a longer key is looked up, and ids up to which candidate pairs are broadcast.
+GRAM, FEW_PAIRS = 8, 1_000_000
 
-def _grams(key, n: int):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, n)))
 
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def _grams(keys: pd.Series, sizes: pd.Series) -> pd.Series:
+    """The distinct substrings of a length; a shorter key is its own."""
+    return pd.Series([list({k[i : i + n] for i in range(max(1, len(k) - n + 1))}) for k, n in zip(keys, sizes, strict=True)])
 
-def containment_pairs(left: DataFrame, right: DataFrame, left_id: str, left_key: str, right_id: str, right_key: str, n_right: int | None = None) -> DataFrame:
+
+def containment_pairs(left: DataFrame, right: DataFrame, left_id: str, left_key: str, right_id: str, right_key: str) -> DataFrame:
     """left_id, right_id of all pairs where one key contains the other; blank keys match nothing.
 
-    A right side of counted small size is broadcast and compared directly. Beyond that the shorter
-    key's rarest gram decides where it is looked for: rows meet only in grams they share.
+    Each key has an anchor, the one of its grams with the least hash (a key shorter than a gram is
+    its own). A key that contains another one contains its anchor: rows meet in ids and grams, and
+    only candidates are compared as texts.
     """
     lt = left.select(F.col(left_id).alias("l"), F.col(left_key).alias("lk")).filter("lk <> ''")
     rt = right.select(F.col(right_id).alias("r"), F.col(right_key).alias("rk")).filter("rk <> ''")
-    n_right = rt.count() if n_right is None else n_right
-    either = F.contains("lk", "rk") | F.contains("rk", "lk")
-    if n_right <= SMALL:
-        pairs = lt.join(F.broadcast(rt), either)
-    else:
-        pairs = _by_grams(lt, rt).unionByName(_by_grams(rt.select(F.col("r").alias("l"), F.col("rk").alias("lk")), lt.select(F.col("l").alias("r"), F.col("lk").alias("rk"))).select(F.col("r").alias("l"), F.col("l").alias("r"))).distinct()
-    return pairs.select(F.col("l").alias(left_id), F.col("r").alias(right_id))
-
-
-def _by_grams(long: DataFrame, short: DataFrame) -> DataFrame:
-    """Pairs whose first key contains the second."""
-    tiny = short.filter(F.length("rk") < GRAM)
-    whole = short.filter(F.length("rk") >= GRAM).select("r", "rk", F.explode(_grams(F.col("rk"), GRAM)).alias("g"))
-    entries = long.select("l", "lk", F.explode(_grams(F.col("lk"), GRAM)).alias("g"))
-    lists = entries.groupBy("g").count()
-    rare = whole.join(lists, "g", "left").groupBy("r", "rk").agg(F.min_by("g", F.struct(F.coalesce("count", F.lit(0)), "g")).alias("g"))
-    found = entries.join(rare, "g").filter(F.contains("lk", "rk")).select("l", "r")
-    # keys shorter than a gram are joined by all substrings of their length
-    sizes = [r[0] for r in tiny.select(F.length("rk")).distinct().collect()]  # fewer than GRAM values
+    swapped = _contained(rt.toDF("l", "lk"), lt.toDF("r", "rk")).select(F.col("r").alias("l"), F.col("l").alias("r"))
+    return _contained(lt, rt).unionByName(swapped).distinct().select(F.col("l").alias(left_id), F.col("r").alias(right_id))
+
+
+def _contained(long: DataFrame, short: DataFrame) -> DataFrame:
+    """l, r of the pairs whose first key contains the second."""
+    # a key over the longest one of the other side is contained in none
+    longest = long.agg(F.coalesce(F.max(F.length("lk")), F.lit(0))).first()[0]
+    short = short.filter(F.length("rk") <= longest)
+    least = F.array_min(F.transform(_grams(F.col("rk"), F.lit(GRAM)), lambda g: F.struct(F.xxhash64(g), g.alias("g"))))["g"]
+    anchors = short.select("r", least.alias("g"), F.length(least).alias("n"))
+    sizes = [row["n"] for row in anchors.select("n").distinct().collect()]  # GRAM values at most
+    pairs = None
     for n in sizes:
-        parts = long.filter(F.length("lk") >= n).select("l", F.explode(_grams(F.col("lk"), n)).alias("rk"))
-        found = found.unionByName(parts.join(tiny.filter(F.length("rk") == n), "rk").select("l", "r"))
-    return found.distinct()
+        own = anchors.filter(F.col("n") == n).select("r", "g")
+        grams = long.filter(F.length("lk") >= n).select("l", F.explode(_grams(F.col("lk"), F.lit(n))).alias("g"))
+        found = grams.join(own, "g").select("l", "r")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return long.select("l").limit(0).join(short.select("r"), F.lit(False))
+    pairs = settled(pairs)
+    small = F.broadcast if pairs.count() <= FEW_PAIRS else (lambda df: df)
+    texts = long.join(small(pairs), "l").join(short, "r")
+    return texts.filter(F.contains("lk", "rk")).select("l", "r")
 
 
 def candidate_status(candidates: DataFrame, flags: dict[str, DataFrame], id_col: str, fresh: str = "新") -> DataFrame:
@@ -65,3 +73,24 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the last by order."""
     rest = F.struct(*[c for c in df.columns if c != key])
     return df.groupBy(key).agg(F.max_by(rest, F.col(order)).alias("_row")).select(key, "_row.*")
+
+
+def new_candidates(candidates: DataFrame, fresh: str = "新") -> DataFrame:
+    """n_candidates, n_new of candidates (status)."""
+    return candidates.agg(F.count("*").alias("n_candidates"), F.count_if(F.col("status") == fresh).alias("n_new"))
+
+
+def candidate_view(candidates: DataFrame) -> DataFrame:
+    """What a listing shows: introductions up to 70 characters, publishers up to 12."""
+    return candidates.withColumns({"intro": F.substring("intro", 1, 70), "publisher": F.substring("publisher", 1, 12)})
+
+
+def search_url(title: Column, base: str) -> Column:
+    """The search address of a title: percent-encoded, a space as %20."""
+    return F.concat(F.lit(base), F.replace(F.url_encode(title), F.lit("+"), F.lit("%20")))
+
+
+def folder_gate(wanted: DataFrame, items: DataFrame, key: str = "name") -> DataFrame:
+    """Adds media_id and action to folders that are wanted (name): an existing one is reused, only an absent one is made."""
+    known = items.groupBy(F.col(key)).agg(F.min("media_id").alias("media_id"))
+    return wanted.select(key).distinct().join(known, key, "left").withColumn("action", F.when(F.col("media_id").isNull(), "create").otherwise("reuse"))

@@ -91,10 +91,16 @@ def reading_batches(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("book_id", "batch").agg(F.sort_array(F.collect_list("id")).alias("chunks"), F.sum("chars").alias("chars"))
 
 
-def manifest(chunks: DataFrame, target: int = TARGET) -> DataFrame:
-    """One row per book: counts and its chunks in order, as nested columns."""
+def manifest(chunks: DataFrame, target: int = TARGET, books: DataFrame | None = None) -> DataFrame:
+    """One row per book: counts, its reading batches and its chunks in order, as nested columns.
+
+    With books (book_id, title, language: a struct with its code) also the book's title and language.
+    """
     each = F.struct("id", "file", "chapter_index", "chapter_title", "part", "chars", "preview", "parts_in_chapter")
-    return chunks.groupBy("book_id").agg(
+    out = chunks.groupBy("book_id").agg(
         F.sum("chars").alias("total_chars"), F.count("*").alias("chunk_count"), F.lit(target).alias("target_chars"),
         F.max("batch").alias("batch_count"), F.sort_array(F.collect_list(each)).alias("chunks"),
     )
+    batches = reading_batches(chunks).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("batch", "chunks"))).alias("reading_batches"))
+    out = out.join(batches, "book_id")
+    return out if books is None else out.join(books.select("book_id", F.col("title").alias("book_title"), F.col("language.code").alias("language")), "book_id")

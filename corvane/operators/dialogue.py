@@ -16,6 +16,14 @@ ENGINES = ["edge", "openai", "aliyun", "volcano", "minimax", "say"]
 SPEEDS = {"zh": (250, 280), "ja": (350, 400), "ko": (300, 340), "en": (150, 170), "es": (140, 160), "fr": (140, 160), "de": (140, 160)}
 
 
+# Formulas that no script may open with.
+BANNED_OPENINGS = ["欢迎收听本期节目", "大家好我是", "今天我们要讲的是"]
+# Seconds of pause after a line by what it does.
+PAUSES = {"question": 0.8, "conclusion": 1.0, "topic switch": 1.5, "end": 1.2}
+# Characters of a sentence in unspaced scripts, words of one in spaced scripts, at most.
+LONGEST_CHARS, LONGEST_WORDS = 40, 25
+
+
 def explode_lines(scripts: DataFrame) -> DataFrame:
     """episode, line_no and the fields of each line."""
     return scripts.select(F.col("episode_id").alias("episode"), "engine", "default_gap", F.posexplode("lines").alias("line_no", "l")).select("episode", "engine", "default_gap", "line_no", "l.*")
@@ -56,6 +64,28 @@ def plan_segments(lines: DataFrame, engine: str | None = None) -> DataFrame:
     return cleaned.withColumns({"chars": F.length("text"), "hash": T.segment_hash(used, F.col("voice"), F.col("text"), options), "file": F.format_string("seg_%04d", F.col("line_no") + 1)})
 
 
+def line_voices(lines: DataFrame, voices: DataFrame, engine: str) -> DataFrame:
+    """lines (episode, line_no, speaker, text, voice: its own or null) with voice and options: their own voice, else their speaker's (episode, speaker, config)."""
+    voice, options = resolve_voice(F.col("config"), F.lit(engine))
+    known = voices.select("episode", "speaker", voice.alias("_voice"), options.alias("options"))
+    return lines.join(known, ["episode", "speaker"], "left").withColumn("voice", T.first_present(F.col("voice"), F.col("_voice"))).drop("_voice")
+
+
+def render_manifest(plan: DataFrame, scripts: DataFrame, engine: str, default_gap: float = 0.35) -> DataFrame:
+    """episode_id, title, language, engine, segment_count, total_chars, default_gap, segments in order of their lines.
+
+    plan: of plan_segments, optionally with cached, pause_after and chapter; scripts: episode, title, language, default_gap.
+    """
+    have = lambda c, t: F.col(c) if c in plan.columns else F.lit(None).cast(t)
+    segment = F.struct(
+        F.col("line_no").cast("int").alias("index"), "speaker", "voice", "text", "chars", "hash", "file",
+        have("pause_after", "double").alias("pause_after"), have("chapter", "string").alias("chapter"), F.coalesce(have("cached", "boolean"), F.lit(False)).alias("cached"),
+    )
+    by = plan.groupBy("episode").agg(F.count("*").cast("int").alias("segment_count"), F.sum("chars").cast("int").alias("total_chars"), F.sort_array(F.collect_list(segment)).alias("segments"))
+    whole = by.join(scripts.select("episode", "title", "language", F.col("default_gap").alias("_gap")), "episode", "left")
+    return whole.select(F.col("episode").cast("string").alias("episode_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("language", F.lit("")).alias("language"), F.lit(engine).alias("engine"), "segment_count", "total_chars", F.coalesce("_gap", F.lit(default_gap)).alias("default_gap"), "segments")
+
+
 def reuse(plan: DataFrame, rendered: DataFrame) -> DataFrame:
     """Adds cached: a rendered segment (episode, line_no, hash, size) of equal number and hash with content exists."""
     have = rendered.filter("size > 0").select("episode", "line_no", "hash").distinct().withColumn("cached", F.lit(True))
@@ -92,17 +122,22 @@ def target_fit(episodes: DataFrame) -> DataFrame:
 
 
 def line_violations(lines: DataFrame, least: int = 20, most: int = 120) -> DataFrame:
-    """episode, line_no, rule, detail: one row for each rule that a line breaks."""
+    """episode, line_no, rule, detail: one row for each rule that a line breaks.
+
+    A sentence is too long by its characters where the line has Chinese, Japanese or Korean ones, else by its words.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.length(text)
     sentences = T.split_sentences(text)
-    longest = F.array_max(F.transform(sentences, lambda s: F.size(F.split(F.trim(s), r"\s+"))))
+    words = F.array_max(F.transform(sentences, lambda s: F.size(F.split(F.trim(s), r"\s+"))))
+    signs = F.array_max(F.transform(sentences, lambda s: F.length(F.trim(s))))
+    unspaced = text.rlike("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
     fillers = F.regexp_count(F.lower(text), F.lit(r"\b(um|uh|well|you know|i mean)\b|嗯|呃|那个"))
     rules = [
         ("empty_text", F.trim(text) == "", n),
         ("line_short", (F.trim(text) != "") & (n < least), n),
         ("line_long", n > most, n),
-        ("sentence_long", longest > 25, longest),
+        ("sentence_long", F.when(unspaced, signs > LONGEST_CHARS).otherwise(words > LONGEST_WORDS), F.when(unspaced, signs).otherwise(words)),
         ("markdown", text.rlike(r"\*\*|^#{1,6} |`|\]\("), n),
         ("numeric_share", text.rlike(r"[0-9]+ ?[%/] ?[0-9]*"), n),
         ("fillers", fillers * 100 > 2 * n, fillers),
@@ -111,13 +146,33 @@ def line_violations(lines: DataFrame, least: int = 20, most: int = 120) -> DataF
     return lines.select("episode", "line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("v")).select("episode", "line_no", "v.rule", "v.detail")
 
 
+def banned_openings(lines: DataFrame, banned: list[str] | None = None) -> DataFrame:
+    """episode, opening: episodes whose first line with text starts with a formula (signs between its characters don't count)."""
+    spoken = lines.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    first = spoken.groupBy("episode").agg(F.min_by("text", "line_no").alias("text"))
+    plain = F.regexp_replace("text", r"[\s，,。.!！、：:]+", "")
+    hits = F.filter(F.array(*[F.lit(b) for b in banned or BANNED_OPENINGS]), lambda b: F.startswith(plain, F.regexp_replace(b, r"[\s，,。.!！、：:]+", "")))
+    return first.select("episode", F.try_element_at(hits, F.lit(1)).alias("opening")).filter("opening is not null")
+
+
+def suggested_pauses(lines: DataFrame) -> DataFrame:
+    """episode, line_no, reason, pause_s: a pause after the last line, before a line that opens a chapter, and after questions."""
+    order = W.partitionBy("episode").orderBy("line_no")
+    last = F.lead("line_no").over(order).isNull()
+    opens = F.coalesce(F.trim(F.lead("chapter").over(order)) != "", F.lit(False))
+    reason = F.when(last, "end").when(opens, "topic switch").when(F.trim("text").rlike("[?？]$"), "question")
+    pause = F.try_element_at(F.create_map(*[F.lit(x) for kv in PAUSES.items() for x in kv]), F.col("reason"))
+    return lines.select("episode", "line_no", reason.alias("reason")).filter("reason is not null").withColumn("pause_s", pause)
+
+
 def script_violations(scripts: DataFrame) -> DataFrame:
-    """episode_id, rule: required fields, id format, engine, gaps, at least one voice and one line."""
+    """episode_id, rule: required fields, id format, engine, gaps, at least one voice (a VARIANT object) and one line."""
     rules = {
         "episode_id": F.col("episode_id").isNull() | ~F.col("episode_id").rlike("^[A-Za-z0-9_-]+$"),
         "title": F.coalesce(F.trim("title"), F.lit("")) == "",
         "engine": F.col("engine").isNotNull() & ~F.col("engine").isin(ENGINES),
         "default_gap": F.col("default_gap").isNotNull() & ~F.col("default_gap").between(0, 3),
+        "voices": ~F.coalesce(F.size(F.try_variant_get("voices", "$", "map<string,variant>")) > 0, F.lit(False)),
         "lines": F.coalesce(F.size("lines"), F.lit(0)) < 1,
         "pause_after": F.exists("lines", lambda x: x["pause_after"].isNotNull() & ~x["pause_after"].between(0, 5)),
         "line_text": F.exists("lines", lambda x: F.coalesce(F.length(x["text"]), F.lit(0)) < 1),

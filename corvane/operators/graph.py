@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.scratch import settled
+
 #: Rounds whose levels are gathered in one table.
 ROUNDS = 16
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def dependency_levels(points: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """id, level, place: points (id, weight) behind all they depend on (edges: id, needs), heavier ones first.
 
@@ -23,15 +21,15 @@ def dependency_levels(points: DataFrame, edges: DataFrame, most: int | None = No
     """
     known = points.select("id").distinct()
     ends = lambda name: known.select(F.col("id").alias(name))
-    rest = _settled(edges.select("id", "needs").join(ends("needs"), "needs", "left_semi").join(ends("id"), "id", "left_semi").distinct())
+    rest = settled(edges.select("id", "needs").join(ends("needs"), "needs", "left_semi").join(ends("id"), "id", "left_semi").distinct())
     turn, left, reached = 0, rest.count(), None  # rest: edges to points without a level; a point's level is how many rounds it is in there
     while left and (most is None or turn <= most):
         turn += 1
         waiting = rest.select("id").distinct()
         reached = waiting.withColumn("level", F.lit(turn)) if reached is None else reached.unionByName(waiting.withColumn("level", F.lit(turn)))
         if turn % ROUNDS == 0:
-            reached = _settled(reached.groupBy("id").agg(F.max("level").alias("level")))
-        rest = _settled(rest.join(waiting.withColumnRenamed("id", "needs"), "needs", "left_semi"))
+            reached = settled(reached.groupBy("id").agg(F.max("level").alias("level")))
+        rest = settled(rest.join(waiting.withColumnRenamed("id", "needs"), "needs", "left_semi"))
         before, left = left, rest.count()
         if left == before:
             break
@@ -42,8 +40,18 @@ def dependency_levels(points: DataFrame, edges: DataFrame, most: int | None = No
         levels = known.join(deepest, "id", "left").join(endless, "id", "left").select("id", F.when(F.col("endless").isNull(), F.coalesce("deepest", F.lit(0))).alias("level"))
     if most is not None:
         levels = levels.withColumn("level", F.when(F.col("level") <= most, F.col("level")))
-    order = W.orderBy(F.asc_nulls_last("level"), F.desc("weight"), "id")
-    return levels.join(points, "id").select("id", "level", F.row_number().over(order).alias("place"))
+    return placed(levels.join(points, "id"), [F.asc_nulls_last("level"), F.desc("weight"), F.asc("id")]).select("id", "level", "place")
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds place: the row number in a total order, by range partitions and their counts, so that no task sees all rows."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    # a row per partition
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", (before - F.col("_first")).alias("_offset"))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("place", (F.col("_row") + F.col("_offset") + 1).cast("int")).drop("_part", "_row", "_offset")
 
 
 def outline_links(outline: DataFrame) -> dict[str, DataFrame]:

@@ -24,12 +24,66 @@ def name_by_chapter(files: DataFrame, episodes: DataFrame) -> DataFrame:
     """Adds new_name to files (name): ``ep_range_topic`` of the episode its name mentions; the last of repeated ids wins; else the name."""
     ep = F.lower(F.regexp_extract("name", r"(?i)(ep\d+)", 1))
     known = episodes.groupBy(F.lower("id").alias("ep")).agg(F.max_by(F.struct("chapter_range", "topic"), F.col("ord")).alias("e"))
-    stem, ext = F.regexp_replace("name", r"\.[^.]+$", ""), F.regexp_extract("name", r"(\.[^.]+)$", 1)
+    ext = F.regexp_extract("name", r"(\.[^.]+)$", 1)
     fresh = F.concat(T.safe_name(F.concat_ws("_", ep, T.blank_to_null(F.col("e.chapter_range")), T.blank_to_null(F.col("e.topic")))), ext)
-    del stem
     return files.withColumn("ep", ep).join(known, "ep", "left").withColumn("new_name", F.when(F.col("e").isNull(), F.col("name")).otherwise(fresh)).drop("e")
 
 
+def episode_titles(names: DataFrame, scripts: DataFrame, episodes: DataFrame) -> DataFrame:
+    """names (ep) with their title: that of the script (ep, title), else the episode's topic, else its title (id, topic, title), else blank."""
+    script = scripts.groupBy(F.lower("ep").alias("ep")).agg(F.max(T.blank_to_null(F.col("title"))).alias("script_title"))
+    known = episodes.groupBy(F.lower("id").alias("ep")).agg(F.max(F.struct(T.blank_to_null(F.col("topic")).alias("topic"), T.blank_to_null(F.col("title")).alias("title"))).alias("e"))
+    both = names.withColumn("ep", F.lower("ep")).join(script, "ep", "left").join(known, "ep", "left")
+    return both.withColumn("title", F.coalesce("script_title", "e.topic", "e.title", F.lit(""))).drop("script_title", "e")
+
+
+def select_episodes(episodes: DataFrame, only: list[str], id_col: str = "id") -> DataFrame:
+    """Episodes named by their id, or by the number behind its ``ep``; none named: all."""
+    wanted = [w.strip().lower() for w in only if w.strip()]
+    own = F.lower(id_col)
+    return episodes.filter(own.isin(wanted) | F.regexp_extract(own, "^ep(.*)$", 1).isin(wanted)) if wanted else episodes
+
+
+def in_file_order(files: DataFrame, name_col: str = "name", numeric: bool = False) -> DataFrame:
+    """Adds place: by name (ep10 before ep2), or by the first number in the name and then by name."""
+    number = F.regexp_extract(name_col, r"(\d+)", 1).try_cast("long")
+    order = [F.asc_nulls_last(number)] if numeric else []
+    return files.withColumn("place", F.row_number().over(W.partitionBy("show_id").orderBy(*order, name_col)))
+
+
+def tracks(files: DataFrame) -> DataFrame:
+    """show_id, name, track, n_tracks in the order of names."""
+    return files.select("show_id", "name", F.row_number().over(W.partitionBy("show_id").orderBy("name")).alias("track"), F.count("*").over(W.partitionBy("show_id")).alias("n_tracks"))
+
+
+def framed(body: DataFrame, intro: DataFrame, outro: DataFrame) -> DataFrame:
+    """The parts of each episode (episode, part, file): its intro, its segments by number, its outro; seq counts them."""
+    rows = [d.withColumn("_frame", F.lit(k)) for k, d in enumerate((intro, body, outro))]
+    order = W.partitionBy("episode").orderBy("_frame", "part")
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("seq", F.row_number().over(order)).drop("_frame")
+
+
+def with_notes(audio: DataFrame, notes: DataFrame) -> DataFrame:
+    """audio (show_id, name) with the notes (show_id, name, text) of the same stem, where there are any."""
+    stem = F.regexp_replace("name", r"\.[^.]+$", "")
+    own = notes.groupBy("show_id", stem.alias("_stem")).agg(F.max("text").alias("notes"))
+    return audio.withColumn("_stem", stem).join(own, ["show_id", "_stem"], "left").drop("_stem")
+
+
+def script_file_violations(files: DataFrame) -> DataFrame:
+    """name, rule of script files (name, episode_id): ``ep`` and two digits or more, and an id that starts like the name."""
+    stem = F.regexp_extract("name", r"^(ep\d{2,})\.script\.json$", 1)
+    rules = {"name": stem == "", "id": (stem != "") & ~F.coalesce(F.startswith("episode_id", stem), F.lit(False))}
+    found = F.array(*[F.when(hit, F.lit(k)) for k, hit in rules.items()])
+    return files.select("name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("rule"))
+
+
+def episode_field_violations(episodes: DataFrame) -> DataFrame:
+    """id, field: what must be present in an episode and isn't."""
+    found = F.array(*[F.when(T.blank_to_null(F.col(c)).isNull(), F.lit(c)) for c in ("id", "title", "chapter_range", "topic")])
+    return episodes.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("field"))
+
+
 def feed_items(audio: DataFrame, show: str, base_url: str, now: str) -> DataFrame:
     """Items of audio (show_id, name, length, seconds, notes): newest last by name; ``now`` is a UTC timestamp."""
     by_name = W.partitionBy("show_id").orderBy("name")

@@ -75,7 +75,7 @@ def q_speaker_runs(spark, sf_dir):
 
 
 def q_line_violations(spark, sf_dir):
-    return dialogue.line_violations(script_lines(spark, sf_dir)).filter("rule in ('empty_text', 'line_short', 'line_long', 'markdown')").select("episode", "line_no", "rule")
+    return dialogue.line_violations(script_lines(spark, sf_dir)).select("episode", "line_no", "rule")
 
 
 def q_language(spark, sf_dir):
@@ -85,8 +85,8 @@ def q_language(spark, sf_dir):
 
 
 def q_catalog_matches(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.title_key(F.col("text"), normalize=False).alias("item_key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.title_key(F.col("text"), normalize=False).alias("doc_key"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.title_key(F.col("text")).alias("item_key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.title_key(F.col("text")).alias("doc_key"))
     return catalog.containment_pairs(docs, items, "doc_id", "doc_key", "item_id", "item_key")
 
 
@@ -100,7 +100,7 @@ def q_candidate_status(spark, sf_dir):
 def q_title_keys(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return p.select("page_id", T.title_key(title, normalize=False).alias("title_key"))
+    return p.select("page_id", T.title_key(title).alias("title_key"))
 
 
 def q_last_event(spark, sf_dir):
@@ -124,7 +124,7 @@ def q_joined_books(spark, sf_dir):
 
 def q_html_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", readers.html_parts("html").alias("h"))
-    return p.select("page_id", F.col("h.title").alias("title"), F.col("h.headings").alias("headings"), F.length("h.text").alias("n_chars"))
+    return p.select("page_id", F.col("h.title").alias("title"), F.array_join("h.headings", " | ").alias("headings"), F.length("h.text").alias("n_chars"))
 
 
 def q_html_titles(spark, sf_dir):
@@ -137,7 +137,7 @@ def q_image_urls(spark, sf_dir):
 
 
 def q_readability(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", pages.readability(F.col("html"), "track\\(\\d*[05]\\)", "page=2|<nav>").alias("verdict"))
+    return table(spark, sf_dir, "pages").select("page_id", pages.readability(F.col("html")).alias("verdict"))
 
 
 def q_clean_text(spark, sf_dir):
@@ -164,7 +164,7 @@ def q_chunks(spark, sf_dir):
 
 
 def q_reading_batches(spark, sf_dir):
-    return chunking.reading_batches(_chunks(spark, sf_dir))
+    return chunking.reading_batches(_chunks(spark, sf_dir)).withColumn("chunks", F.array_join(F.col("chunks").cast("array<string>"), ","))
 
 
 def q_chapters(spark, sf_dir):
@@ -208,7 +208,7 @@ def q_segment_audit(spark, sf_dir):
 def q_control_totals(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     declared = d.groupBy("source").agg(F.sum("n_chars").alias("total"))
-    extracted = d.filter("doc_id % 2 = 0").groupBy("source").agg(F.sum(F.length("text")).alias("total"))
+    extracted = d.groupBy("source").agg(F.sum(F.length("text")).alias("total"))
     return audit.control_totals(declared, extracted, "source")
 
 
@@ -265,9 +265,14 @@ OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CU
     "questions": f"WITH {_RAW}, q AS (SELECT episode, count(*) FILTER (speaker = 'user' AND regexp_matches(text, '[?？]')) AS n_questions FROM r GROUP BY episode) SELECT *, n_questions >= 1 AS enough FROM q",
     "speaker_runs": f"""WITH {_TIMED}, s AS (SELECT *, sum((k = 1 OR speaker IS DISTINCT FROM was)::INT) OVER (PARTITION BY episode ORDER BY line_no) AS run FROM t)
 SELECT episode, run::BIGINT AS run, any_value(speaker) AS speaker, min(line_no) AS first_line, count(*) AS n_lines, sum(ms)::BIGINT AS run_ms, sum(ms) > 90000 AS too_long FROM s GROUP BY episode, run""",
-    "line_violations": f"""WITH {_RAW} SELECT episode, line_no, 'empty_text' AS rule FROM r WHERE trim(text, ' ') = ''
+    "line_violations": f"""WITH {_RAW}, s AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(text, '([。！？!?；;…])\\s*', '\\1' || chr(1), 'g'), '([.!?])\\s+([A-Z"''“])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')) AS p FROM r),
+w AS (SELECT *, list_max(list_transform(CASE WHEN len(p) = 0 THEN [text] ELSE p END, lambda x: len(regexp_split_to_array(trim(x, ' '), '\\s+')))) AS words, len(regexp_extract_all(lower(text), '\\b(um|uh|well|you know|i mean)\\b')) AS f FROM s)
+SELECT episode, line_no, 'empty_text' AS rule FROM r WHERE trim(text, ' ') = ''
 UNION ALL SELECT episode, line_no, 'line_short' FROM r WHERE trim(text, ' ') <> '' AND n < 20
 UNION ALL SELECT episode, line_no, 'line_long' FROM r WHERE n > 120
+UNION ALL SELECT episode, line_no, 'sentence_long' FROM w WHERE words > 25
+UNION ALL SELECT episode, line_no, 'numeric_share' FROM r WHERE regexp_matches(text, '[0-9]+ ?[%/] ?[0-9]*')
+UNION ALL SELECT episode, line_no, 'fillers' FROM w WHERE f * 100 > 2 * n
 UNION ALL SELECT episode, line_no, 'markdown' FROM r WHERE regexp_matches(text, '\\*\\*|^#{{1,6}} |`|\\]\\(')""",
     "language": f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(substr(coalesce(text, ''), 1, 200000)), '[a-zà-öø-ÿ]+') AS w FROM documents),
 v AS (SELECT doc_id, {_VOTES} FROM w), r AS (SELECT doc_id, {_RANK} AS r FROM v),
@@ -285,7 +290,7 @@ SELECT doc_id, coalesce(nullif(concat_ws(' / ', CASE WHEN doc_id IN (SELECT doc_
 SELECT source, length(t)::INTEGER AS n_chars, sha1(t) AS sha1, CASE WHEN length(t) < 50000 THEN '2-3' WHEN length(t) < 150000 THEN '4-6' WHEN length(t) < 300000 THEN '6-10' ELSE '10-15' END AS episodes FROM b""",
     "html_titles": "SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ' +', ' ', 'g') AS title FROM pages",
     "image_urls": """SELECT DISTINCT page_id AS id, u AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, '<img[^>]*\\ssrc="([^"]+)"', 1)) AS u FROM pages) WHERE NOT starts_with(u, 'data:')""",
-    "readability": "SELECT page_id, CASE WHEN regexp_matches(html, 'track\\(\\d*[05]\\)') THEN '试读墙' WHEN regexp_matches(html, 'page=2|<nav>') THEN '可读' ELSE '异常' END AS verdict FROM pages",
+    "readability": "SELECT page_id, CASE WHEN regexp_matches(html, '试读结束|购买后阅读|开通会员|购买本书|付费阅读') THEN '试读墙' WHEN regexp_matches(html, '下一页|下一章|上一页|目录') THEN '可读' ELSE '异常' END AS verdict FROM pages",
     "reading_minutes": """WITH w AS (SELECT doc_id, lang, length(text) AS n, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS w FROM documents)
 SELECT doc_id, round_even(CASE WHEN lang IN ('zh', 'ja', 'ko') THEN n / 260.0::DOUBLE ELSE w / 160.0::DOUBLE END, 0)::INTEGER AS minutes FROM w""",
     "sentences": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([。！？!?；;…])\s*', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z"''“])', '\1' || chr(1) || '\2', 'g') AS t, text FROM documents),
@@ -297,17 +302,17 @@ b AS (SELECT *, regexp_extract('# ' || substr(text, 1, 20), '(?m)^# (.*)$', 1) A
 SELECT show_id, episode, coalesce(nullif(trim(head, ' '), ''), stem) AS title, '# ' || substr(text, 1, 20) AS description, 'Show-' || stem AS guid,
   strftime(TIMESTAMP '2024-02-01' - to_days((total - episode)::INTEGER), '%a, %d %b %Y %H:%M:%S') || ' +0000' AS pub_date, 'https://cdn.example/' || stem || '.mp3' AS url,
   (length(text) * 100)::BIGINT AS length, 'audio/mpeg' AS type, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration FROM b""",
-    "name_plan": r"""WITH p AS (SELECT 'ep' || CASE WHEN page_id < 10 THEN '0' || page_id ELSE page_id::VARCHAR END AS ep, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
-SELECT CASE WHEN page_id > 99 THEN 'ep' || substr(page_id::VARCHAR, 1, 2) ELSE ep END AS ep, title,
-  replace('x_' || CASE WHEN page_id > 99 THEN 'ep' || substr(page_id::VARCHAR, 1, 2) ELSE ep END || '__' || trim(regexp_replace(title, '[\\/:*?"<>|\r\n\t]+', ' ', 'g'), ' ') || '.mp3', '__.', '.') AS file_name FROM p""",
+    "name_plan": r"""WITH p AS (SELECT 'ep' || lpad(page_id::VARCHAR, greatest(2, length(page_id::VARCHAR))::INTEGER, '0') AS ep, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+SELECT ep, title, replace('x_' || ep || '__' || trim(regexp_replace(title, '[\\/:*?"<>|\r\n\t]+', ' ', 'g'), ' ') || '.mp3', '__.', '.') AS file_name FROM p""",
     "upload_manifest": """WITH f AS (SELECT regexp_replace(url, '^.*/', '') AS file_name, octet_length(encode(html)) * 20000 AS file_size FROM pages),
 e AS (SELECT *, lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) AS file_ext FROM f), c AS (SELECT *, CASE file_ext WHEN 'html' THEN 'text/html' WHEN 'txt' THEN 'text/plain' WHEN 'pdf' THEN 'application/pdf' WHEN 'json' THEN 'application/json' WHEN 'md' THEN 'text/markdown' WHEN 'mp3' THEN 'audio/mpeg' WHEN 'm4a' THEN 'audio/mp4' WHEN 'wav' THEN 'audio/wav' END AS content_type FROM e)
 SELECT *, CASE WHEN content_type IS NULL THEN 'rejected' WHEN file_size < 104857600 THEN 'automatic' WHEN file_size <= 209715200 THEN 'manual' ELSE 'too large' END AS gate FROM c""",
-    "storage_audit": """WITH s AS (SELECT 'repo' || (user_id % 50) AS repo, CASE WHEN event_id % 3 = 0 THEN 'cache' ELSE 'artifact' END AS kind, event_id * 1000 AS b, ts < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AS old FROM events)
-SELECT repo, kind, CASE WHEN kind = 'artifact' AND old THEN 'zero' WHEN kind = 'artifact' THEN 'low, confirm' ELSE 'low' END AS risk, count(*) AS n, sum(b)::BIGINT AS bytes FROM s GROUP BY ALL""",
+    "storage_audit": """WITH s AS (SELECT 'repo' || (user_id % 50) AS repo, CASE WHEN event_id % 3 = 0 THEN 'cache' ELSE 'artifact' END AS kind, event_id * 1000 AS b, ts < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AS old FROM events),
+g AS (SELECT repo, kind, CASE WHEN kind = 'artifact' AND old THEN 'zero' WHEN kind = 'artifact' THEN 'low, confirm' ELSE 'low' END AS risk, count(*) AS n, sum(b)::BIGINT AS bytes FROM s GROUP BY ALL)
+SELECT *, bytes::DOUBLE / nullif(sum(bytes) OVER (PARTITION BY repo), 0)::DOUBLE AS share FROM g""",
     "segment_audit": f"""WITH {_LINES}, x AS (SELECT episode, line_no, CASE WHEN line_no % 5 = 1 THEN 'missing' WHEN line_no % 4 = 3 THEN 'empty' WHEN line_no % 7 = 2 THEN 'stale' END AS problem FROM p)
 SELECT * FROM x WHERE problem IS NOT NULL""",
-    "control_totals": """WITH d AS (SELECT source, sum(n_chars)::BIGINT AS declared FROM documents GROUP BY source), e AS (SELECT source, sum(length(text))::BIGINT AS extracted FROM documents WHERE doc_id % 2 = 0 GROUP BY source)
+    "control_totals": """WITH d AS (SELECT source, sum(n_chars)::BIGINT AS declared FROM documents GROUP BY source), e AS (SELECT source, sum(length(text))::BIGINT AS extracted FROM documents GROUP BY source)
 SELECT coalesce(d.source, e.source) AS source, declared, extracted, extracted::DOUBLE / nullif(declared, 0) AS ratio,
   CASE WHEN extracted IS NULL THEN 'not extracted' WHEN declared IS NULL THEN 'not declared' WHEN extracted::DOUBLE / declared BETWEEN 0.1 AND 10 THEN 'plausible' ELSE 'implausible' END AS verdict FROM d FULL JOIN e ON d.source = e.source""",
     "attribute_conflicts": "SELECT coalesce(d.doc_id, l.doc_id) AS key, n_chars AS body, quality::BIGINT AS image FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE n_chars IS DISTINCT FROM quality",
@@ -315,4 +320,50 @@ SELECT coalesce(d.source, e.source) AS source, declared, extracted, extracted::D
 r(id, level) AS (SELECT p_partkey, 0 FROM part UNION SELECT e.id, r.level + 1 FROM r JOIN e ON e.needs = r.id),
 l AS (SELECT id, max(level) AS level FROM r GROUP BY id)
 SELECT id, level, row_number() OVER (ORDER BY level, p_size % 5 + 1 DESC, id) AS place FROM l JOIN part ON id = p_partkey""",
+    "chapters": """WITH d AS (SELECT doc_id, length(text) AS n FROM documents), m AS (SELECT doc_id, n, unnest([{'t': 'One', 's': 0, 'k': TRUE}, {'t': 'Two', 's': n + 7, 'k': n >= 33}, {'t': 'Chapter 3 End', 's': 2 * n + 14, 'k': n >= 13}]) AS m FROM d),
+c AS (SELECT doc_id, m.t AS title, m.s AS s, coalesce(lead(m.s) OVER w, 3 * n + 28) AS e, row_number() OVER w AS i FROM m WHERE m.k WINDOW w AS (PARTITION BY doc_id ORDER BY m.s))
+SELECT doc_id AS book_id, i::INTEGER AS "index", title, s::INTEGER AS "start", e::INTEGER AS "end", (e - s)::INTEGER AS chars FROM c""",
+    "feed_xml": """WITH i AS (@feed_items@), e AS (SELECT show_id, episode, '<item><title>' || @title@ || '</title><description>' || @description@ || '</description><guid isPermaLink="false">' || @guid@ || '</guid><pubDate>' || pub_date || '</pubDate><enclosure url="' || @url@ || '" length="' || length || '" type="' || type || '"/>'
+  || CASE WHEN duration <> '' THEN '<itunes:duration>' || duration || '</itunes:duration>' ELSE '' END || '<itunes:episode>' || episode || '</itunes:episode></item>' AS x FROM i)
+SELECT show_id, '<?xml version="1.0" encoding="utf-8"?><rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>Show</title><link>.</link><language>en</language><description>Show</description><itunes:author>Corvane</itunes:author><itunes:explicit>false</itunes:explicit>' || string_agg(x, '' ORDER BY episode) || '</channel></rss>' AS xml FROM e GROUP BY show_id""",
+    "clean_text": r"""WITH a AS (SELECT doc_id, lang, nfc_normalize(text) AS t FROM documents),
+b AS (SELECT doc_id, lang, array_to_string(list_filter(string_split(regexp_replace(replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(173), ''), '[ \t\x{a0}]+', ' ', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^[ \t\x{a0}]*[-—–\[(]?[ \t\x{a0}]*[0-9]{1,4}[ \t\x{a0}]*[-—–\])]?[ \t\x{a0}]*$')), chr(10)) AS t FROM a),
+c AS (SELECT doc_id, lang, regexp_replace(t, '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g') AS t FROM b),
+d AS (SELECT doc_id, lang, regexp_replace(regexp_replace(t, '([^.!?:;"'')\]\n])\n([a-zà-öø-ÿ])', '\1 \2', 'g'), '([^.!?:;"'')\]\n])\n([a-zà-öø-ÿ])', '\1 \2', 'g') AS t FROM c),
+e AS (SELECT doc_id, lang, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM d),
+w AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS w FROM e)
+SELECT doc_id, length(t)::INTEGER AS n_chars, sha1(t) AS sha1, round_even(w / 160.0::DOUBLE, 0)::INTEGER AS minutes FROM w""",
 }
+
+
+def _plain(text: str) -> str:
+    """Entities as signs, the ampersand last."""
+    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        text = f"replace({text}, '&{entity};', '{sign}')"
+    return text
+
+
+_BODY = "regexp_replace(html, '(?s)<!--.*?-->', chr(1), 'g')"
+for _tag in ("script", "style", "nav", "footer"):
+    _BODY = f"regexp_replace({_BODY}, '(?s)<{_tag}[^>]*>.*?</{_tag}>', chr(1), 'g')"
+_ONE_LINE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
+_HEADING = _plain(_ONE_LINE.format("regexp_replace(x, '<[^>]*>', '', 'g')"))
+_TITLE = _plain(_ONE_LINE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+ORACLES["html_pages"] = f"""WITH p AS (SELECT page_id, html, {_BODY} AS b FROM pages),
+t AS (SELECT page_id, {_TITLE} AS title, list_transform(regexp_extract_all(b, '(?s)<h[12][^>]*>(.*?)</h[12]>', 1), lambda x: {_HEADING}) AS h,
+  list_filter(list_transform(string_split(regexp_replace(b, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace({_plain('x')}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS x FROM p)
+SELECT page_id, title, array_to_string(h, ' | ') AS headings, length(array_to_string(x, chr(10)))::INTEGER AS n_chars FROM t"""
+
+_SENTENCES = r"""s AS (SELECT doc_id, text, CASE WHEN length(text) <= 1000 THEN [text] ELSE list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([。！？!?；;…])\s*', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z"''“])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\S')) END AS s FROM documents),
+n AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS n FROM s),
+k(doc_id, pos, size, piece, body) AS (SELECT doc_id, 1, n[1], 1, s[1] FROM n UNION ALL
+  SELECT k.doc_id, pos + 1, CASE WHEN size + 1 + n[pos + 1] > 1000 THEN n[pos + 1] ELSE size + 1 + n[pos + 1] END, piece + (size + 1 + n[pos + 1] > 1000)::INT, CASE WHEN size + 1 + n[pos + 1] > 1000 THEN s[pos + 1] ELSE body || ' ' || s[pos + 1] END FROM k JOIN n ON k.doc_id = n.doc_id WHERE pos < len(s)),
+p AS (SELECT doc_id, piece, arg_max(body, pos) AS body FROM k GROUP BY ALL),
+c AS (SELECT doc_id, piece, body AS own, CASE WHEN piece = 1 THEN '' ELSE '…' || right(lag(body) OVER (PARTITION BY doc_id ORDER BY piece), 100) || chr(10) || chr(10) END || body AS body, count(*) OVER (PARTITION BY doc_id) AS parts FROM p)"""
+ORACLES["chunks"] = f"""WITH RECURSIVE {_SENTENCES} SELECT doc_id AS book_id, piece::INTEGER AS id, piece::INTEGER AS part, parts AS parts_in_chapter, ((piece - 1) // 4 + 1)::INTEGER AS batch, printf('chunk_%03d.md', piece) AS file,
+length(body)::INTEGER AS chars, length(own) > 1000 AS is_oversize, substr(regexp_replace(substr(body, 1, 100), '\\s+', ' ', 'g'), 1, 100) AS preview FROM c"""
+ORACLES["reading_batches"] = f"""WITH RECURSIVE {_SENTENCES} SELECT doc_id AS book_id, ((piece - 1) // 4 + 1)::INTEGER AS batch, string_agg(piece, ',' ORDER BY piece) AS chunks, sum(length(body))::BIGINT AS chars FROM c GROUP BY ALL"""
+
+for _name in ("title", "description", "guid", "url"):
+    ORACLES["feed_xml"] = ORACLES["feed_xml"].replace(f"@{_name}@", f"replace(replace(replace(replace({_name}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')")
+ORACLES["feed_xml"] = ORACLES["feed_xml"].replace("@feed_items@", ORACLES["feed_items"])

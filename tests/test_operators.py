@@ -139,19 +139,23 @@ def test_segments(spark):
 
 
 def test_script_rules(spark):
-    schema = "episode_id string, title string, engine string, default_gap double, lines array<struct<speaker:string,text:string,pause_after:double>>"
-    bad = dialogue.script_violations(spark.createDataFrame([("ep 1", "", "foo", 9.0, [("a", "", 7.0)]), ("ep1", "t", "edge", 0.3, [("a", "x", None)])], schema))
-    assert sorted(r.rule for r in bad.collect()) == ["default_gap", "engine", "episode_id", "line_text", "pause_after", "title"]
+    schema = "episode_id string, title string, engine string, default_gap double, voices string, lines array<struct<speaker:string,text:string,pause_after:double>>"
+    scripts = spark.createDataFrame([("ep 1", "", "foo", 9.0, "{}", [("a", "", 7.0)]), ("ep1", "t", "edge", 0.3, '{"a": "v"}', [("a", "x", None)]), ("ep2", "t", None, None, None, None)], schema)
+    bad = dialogue.script_violations(scripts.withColumn("voices", F.parse_json("voices"))).collect()
+    assert sorted(r.rule for r in bad if r.episode_id == "ep 1") == ["default_gap", "engine", "episode_id", "line_text", "pause_after", "title", "voices"]
+    assert sorted(r.rule for r in bad if r.episode_id != "ep 1") == ["lines", "voices"]
     assert spark.range(1).select(dialogue.repair_script_json(F.lit('{"speaker": "x": "text": "y"}')).alias("j")).first().j == '{"speaker": "x", "text": "y"}'
 
 
-@pytest.mark.parametrize("n_right", [None, 10**9])
-def test_containment(spark, n_right):
-    titles = ["abcdefghijkl", "xx", "", "cdefghij", "zzzzzzzzzzzz", "b"]
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_containment(spark, monkeypatch, few):
+    monkeypatch.setattr(catalog, "FEW_PAIRS", few)
+    titles = ["abcdefghijkl", "xx", "", "cdefghij", "zzzzzzzzzzzz", "b", "é字😀" * 9, "字😀é字😀é字😀é", "abcdefghijklm", None]
     left = spark.createDataFrame(list(enumerate(titles)), "a long, ka string")
     right = spark.createDataFrame(list(enumerate(titles[::-1])), "b long, kb string")
-    got = {tuple(r) for r in catalog.containment_pairs(left, right, "a", "ka", "b", "kb", n_right).collect()}
+    got = {tuple(r) for r in catalog.containment_pairs(left, right, "a", "ka", "b", "kb").collect()}
     assert got == {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles[::-1]) if x and y and (x in y or y in x)}
+    assert catalog.containment_pairs(left.limit(0), right, "a", "ka", "b", "kb").count() == 0 == catalog.containment_pairs(left, right.limit(0), "a", "ka", "b", "kb").count()
 
 
 def test_status_and_last_wins(spark):
@@ -214,3 +218,33 @@ def test_readability_and_key(spark):
     df = spark.createDataFrame(pd.DataFrame({"t": ["试读结束", "下一页", "?"]}))
     assert [r.v for r in df.select(pages.readability(F.col("t")).alias("v")).collect()] == ["试读墙", "可读", "异常"]
     assert df.select(T.first_present(F.lit(" "), F.lit("b")).alias("x")).first().x == "b"
+
+
+def test_line_rules(spark):
+    zh = "这句话有四十一个字" + "字" * 32
+    rows = [("e", 0, zh + "。好。"), ("e", 1, "字" * 40), ("e", 2, "w " * 26), ("e", 3, "w " * 25), ("e", 4, "嗯嗯 uh"), ("e", 5, None)]
+    got = {(r.line_no, r.rule) for r in dialogue.line_violations(spark.createDataFrame(rows, "episode string, line_no int, text string")).collect()}
+    assert {n for n, rule in got if rule == "sentence_long"} == {0, 2} and (4, "fillers") in got and (5, "empty_text") in got
+    lines = spark.createDataFrame([("a", 0, " "), ("a", 1, "大家好，我是 X"), ("b", 0, "Straight in")], "episode string, line_no int, text string")
+    assert [(r.episode, r.opening) for r in dialogue.banned_openings(lines).collect()] == [("a", "大家好我是")]
+
+
+def test_render_manifest(spark):
+    plan = spark.createDataFrame([("e", 1, "b", "v", "yy", 2, "h1", "seg_0002"), ("e", 0, "a", "v", "x", 1, "h0", "seg_0001")], "episode string, line_no int, speaker string, voice string, text string, chars int, hash string, file string")
+    got = dialogue.render_manifest(plan, spark.createDataFrame([("e", "T", "en", None)], "episode string, title string, language string, default_gap double"), "edge").first()
+    assert (got.episode_id, got.title, got.segment_count, got.total_chars, got.default_gap) == ("e", "T", 2, 3, 0.35)
+    assert [(x["index"], x.file, x.cached) for x in got.segments] == [(0, "seg_0001", False), (1, "seg_0002", False)]
+
+
+def test_places_over_partitions(spark):
+    rows = [(i * 7919 % 1000, i % 3) for i in range(1000)]
+    got = graph.placed(spark.createDataFrame(rows, "id long, w int"), [F.desc("w"), F.asc("id")]).collect()
+    assert [(r.id, r.w) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (-r[1], r[0])) and sorted(r.place for r in got) == list(range(1, 1001))
+
+
+def test_index_pages_and_gates(spark):
+    items = spark.createDataFrame([("a", "folder_1"), ("a", "folder_0")], "name string, media_id string")
+    got = catalog.folder_gate(spark.createDataFrame([("a",), ("b",), ("b",)], "name string"), items).orderBy("name").collect()
+    assert [(r.name, r.media_id, r.action) for r in got] == [("a", "folder_0", "reuse"), ("b", None, "create")]
+    s = spark.createDataFrame([("r", "cache", 30, None), ("r", "artifact", 10, None)], "repo string, kind string, size_in_bytes long, created_at timestamp")
+    assert {r.kind: r.share for r in audit.storage_audit(s, "2024-01-01 00:00:00").collect()} == {"cache": 0.75, "artifact": 0.25}

@@ -61,7 +61,7 @@ def test_small_functions(spark):
     assert one(spark, T.clock_text(F.col("t")), t=3725.9) == "1:02:05"
     assert one(spark, T.clock_text(F.col("t")), t=65.0) == "1:05"
     assert one(spark, T.safe_name(F.col("t")), t='a/b:*c"') == "a b c"
-    assert one(spark, T.episode_id(F.col("t")), t="3") == "ep03"
+    assert [one(spark, T.episode_id(F.col("t")), t=t) for t in ("3", "03", "100", "123", " EP7 ", "1000")] == ["ep03", "ep03", "ep100", "ep123", "ep7", "ep1000"]
     assert one(spark, T.score_of(F.col("t")), t=876) == 87.6
     assert one(spark, T.score_of(F.col("t")), t=0) is None
     assert one(spark, T.markdown_title(F.col("t"), F.lit("stem")), t="x\n# Title \ny") == "Title"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,30 +67,36 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in columns])
 
 
-def script_counts(text: Column) -> Column:
-    """struct of counts by script; the rarer scripts are told apart among their own characters only."""
-    rare = {k: r for k, r in SCRIPTS.items() if k != "latin"}
-    latin = F.length(F.regexp_replace(text, f"[^{SCRIPTS['latin']}]", "")).alias("latin")
-    others = F.regexp_replace(text, f"[^{''.join(rare.values())}]", "")
-    return let(others, lambda o: F.struct(*[F.length(F.regexp_replace(o, f"[^{r}]", "")).alias(k) for k, r in rare.items()], latin))
-
-
 def let(value: Column, then) -> Column:
     """then(value), with value computed once per row however often it is used."""
     return F.transform(F.array(value), lambda x: then(x))[0]
 
 
-def latin_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
-
-
-def stopword_votes(words: Column) -> Column:
-    """array<struct<n, place, code>>, most votes first; n is negative, so that ties keep the languages' order."""
-
-    def votes(listed: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*listed)))
-
-    return F.array_sort(F.array(*[F.struct((-votes(s.split())).alias("n"), F.lit(i).alias("place"), F.lit(code).alias("code")) for i, (code, s) in enumerate(STOPWORDS.items())]))
+#: Of each function word, the places of the languages that it votes for.
+_VOTES = {w: [k for k, own in enumerate(STOPWORDS.values()) if w in own.split()] for words in STOPWORDS.values() for w in words.split()}
+_SCRIPTS = [re.compile(f"[{r}]") for r in SCRIPTS.values()]
+_WORDS = re.compile("[a-zà-öø-ÿ]+")
+SIGNS = T.StructType([T.StructField("scripts", T.ArrayType(T.LongType())), T.StructField("votes", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(SIGNS)
+def language_signs(texts: pd.Series) -> pd.DataFrame:
+    """How many characters of each script a text has, and function words of each language: one pass over characters and words."""
+    scripts, votes = [], []
+    for text in texts:
+        text = text or ""
+        by_script, by_language = [0] * len(_SCRIPTS), [0] * len(STOPWORDS)
+        for c, n in Counter(text).items():
+            for k, pattern in enumerate(_SCRIPTS):
+                if pattern.match(c):
+                    by_script[k] += n
+        words = Counter(_WORDS.findall(text.lower()))
+        for w in _VOTES.keys() & words.keys():
+            for k in _VOTES[w]:
+                by_language[k] += words[w]
+        scripts.append(by_script)
+        votes.append(by_language)
+    return pd.DataFrame({"scripts": scripts, "votes": votes})
 
 
 def detect_language(text: Column, sample: int | None = None) -> Column:
@@ -99,9 +106,10 @@ def detect_language(text: Column, sample: int | None = None) -> Column:
     """
     names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
 
-    def verdict(counts: Column, ranked: Column) -> Column:
-        total = F.greatest(reduce(lambda a, b: a + b, [counts[k] for k in SCRIPTS]), F.lit(1))
-        share = {k: counts[k] / total for k in SCRIPTS}
+    def verdict(signs: Column, ranked: Column) -> Column:
+        counts = {k: F.element_at(signs["scripts"], i + 1) for i, k in enumerate(SCRIPTS)}
+        total = F.greatest(F.aggregate(signs["scripts"], F.lit(0).cast("long"), lambda a, n: a + n), F.lit(1))
+        share = {k: n / total for k, n in counts.items()}
         top, second = -ranked[0]["n"], -ranked[1]["n"]
         code, sure = F.when(top > 0, ranked[0]["code"]).otherwise("unknown"), F.when(top > 0, F.bround(0.5 + 0.45 * (1 - second / top), 2)).otherwise(0.0)
         for script, language, least, times, plus in reversed(BY_SCRIPT):
@@ -111,11 +119,12 @@ def detect_language(text: Column, sample: int | None = None) -> Column:
         scripts = F.map_filter(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), v)]), lambda _, v: v > 0)
         return F.struct(code.alias("code"), F.coalesce(F.try_element_at(names, code), code).alias("name"), sure.alias("confidence"), scripts.alias("scripts"))
 
-    own = F.coalesce(text, F.lit(""))
-    own = own if sample is None else F.substring(own, 1, sample)
-    every = sorted({w for s in STOPWORDS.values() for w in s.split()})
-    words = F.filter(latin_words(own), lambda w: w.isin(*every))
-    return let(script_counts(own), lambda c: let(words, lambda w: let(stopword_votes(w), lambda r: verdict(c, r))))
+    def ranked(signs: Column) -> Column:
+        """Most votes first; n is negative, so that ties keep the languages' order."""
+        return F.array_sort(F.array(*[F.struct((-F.element_at(signs["votes"], i + 1)).alias("n"), F.lit(i).alias("place"), F.lit(code).alias("code")) for i, code in enumerate(STOPWORDS)]))
+
+    own = text if sample is None else F.substring(text, 1, sample)
+    return let(language_signs(own), lambda s: let(ranked(s), lambda r: verdict(s, r)))
 
 
 def with_field(struct: Column, name: str, value: Column) -> Column:

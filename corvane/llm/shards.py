@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Chunks a shard is cut into for numbering: bounds the offsets table at shards x chunks rows.
-CHUNKS = 256
+#: Least chunks that a shard is cut into for numbering, and the rows of a chunk that are aimed at beyond them.
+CHUNKS, CHUNK_ROWS = 256, 200_000
 
 
 def _race(key: Column, shard: int, weight: float) -> Column:
@@ -34,15 +34,17 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def assign_shards(
     docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-    weights: Sequence[float] | None = None, new_weight: float = 1.0, chunks: int = CHUNKS,
+    weights: Sequence[float] | None = None, new_weight: float = 1.0, chunks: int | None = None,
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per input row.
 
     Law ``key``: only the key and the shard weights decide. size is the text's UTF-8 bytes plus 8.
     Null text: 0 bytes, crc32 0. A null key is a key of its own (all such rows share one shard).
     Repeated rows go to one shard with slots of their own. An empty table gives an empty result.
-    Only id_col and text_col are read, so other columns can't clash.
+    Only id_col and text_col are read, so other columns can't clash. Whole texts are measured, however
+    long. chunks: parts of a shard that are numbered one by one (default: by the number of rows).
     """
+    chunks = chunks or max(CHUNKS, -(-docs.count() // (n_shards * CHUNK_ROWS)))
     weights = list(weights or [1.0] * n_shards)
     if len(weights) != n_shards:
         raise ValueError("one weight for each shard")
@@ -54,7 +56,7 @@ def assign_shards(
     chunk = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(chunks)).cast("int")
     counts = rows.select(shard.alias("shard"), chunk.alias("chunk")).groupBy("shard", "chunk").count()
     before = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    # at most n_shards x chunks rows, whatever the input
+    # n_shards x chunks rows: one for 200,000 rows of the input at most, beyond 256 chunks
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     placed = rows.select(
         "doc_id",

@@ -1,6 +1,10 @@
+import math
 import re
+import struct
+import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm.shards import assign_shards
@@ -37,6 +41,28 @@ def test_many_listed_keys_need_levels(spark):
     assert {r.page_id for r in got.filter("verdict = 'block'").collect()} == set(range(300))
 
 
+def race(key, shard, weight):
+    """xxHash64 of the key and then the shard, each as little-endian bytes, chained by the seed."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    h = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=h)
+    return -math.log(((h >> 11) + 0.5) / 2**53) / weight, shard
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 24, [1.0, 4.0, 0.5]])
+def test_shards_by_brute_force(spark, weights):
+    keys = [*range(-50, 250), 2**62, -(2**62)]
+    df = spark.createDataFrame([(k, f"t{k}é", 1) for k in keys], "doc_id long, text string, shard int")
+    got = {r.doc_id: r for r in assign_shards(df, len(weights), weights=weights).collect()}
+    for k in keys:
+        best = min(race(k, s, w) for s, w in enumerate(weights))[1]
+        grown = min(race(k, s, w) for s, w in enumerate([*weights, 1.0]))[1]
+        assert (got[k].shard, got[k].grown_shard) == (best, grown) and grown in (best, len(weights))
+        assert (got[k].size, got[k].text_crc32) == (len(f"t{k}é".encode()) + 8, zlib.crc32(f"t{k}é".encode()))
+    for s in range(len(weights)):
+        own = sorted(r.slot for r in got.values() if r.shard == s)
+        assert own == list(range(len(own)))
+
+
 def test_urls_of_an_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
     with pytest.raises(ValueError, match="one action"):

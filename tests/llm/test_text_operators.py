@@ -76,6 +76,26 @@ def test_packing(spark, texts, capacity):
     assert packed(spark, []) == []
 
 
+def test_ranks_give_the_tokenizer_files_ids():
+    """For every code point that text can hold, alone and between letters, and for long runs."""
+    by_ranks, by_library = packing._encoders(JSON, RANKS, P.PATTERN)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 20_000):
+        text = "".join(f"a{chr(c)} {chr(c)}" for c in points[lo : lo + 20_000 : 7 if lo > 80_000 else 1])
+        assert by_ranks(text) == by_library(text), hex(points[lo])
+    for text in (" " * 100_000, "中" * 50_000, "ab" * 50_000, "\n \n" * 20_000):
+        assert by_ranks(text) == by_library(text)
+
+
+def test_memo_is_bounded_by_bytes():
+    memo = bpe.Memo(10_000, "test")
+    for k in range(400):
+        key = f"{k}" * 3
+        got = memo.fill({key, "x" * 5000 + key}, lambda keys: [x.encode() for x in keys])
+        assert got[key] == key.encode() and got["x" * 5000 + key]
+    assert len(memo.young) + len(memo.old) < 120 and sum(len(k) > bpe.Memo.LONGEST for k in [*memo.young, *memo.old]) <= 2
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(2)
     for capacity in (10, 64):

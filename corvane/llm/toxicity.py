@@ -148,7 +148,7 @@ def induce_lexicon(texts: list[str | None], y: np.ndarray, most: int, least: int
         b = neg[f]
         ratio = math.log((a + 0.5) / n) - math.log((b + 0.5) / m)
         strength = ratio - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if strength > 1.0:
+        if strength > 0:
             out.append((strength, f))
     return sorted(out, key=lambda x: (-x[0], x[1]))[:most]
 

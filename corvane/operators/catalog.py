@@ -10,7 +10,7 @@ from pyspark.sql import types as S
 
 from corvane.scratch import settled
 
-#: Characters of the anchor by which a longer key is looked up, and ids up to which candidate pairs are broadcast.
+#: Characters of the anchor by which a longer key is looked up, and rows up to which anchors and candidate pairs are broadcast.
 GRAM, FEW_PAIRS = 8, 1_000_000
 
 
@@ -27,8 +27,9 @@ def containment_pairs(left: DataFrame, right: DataFrame, left_id: str, left_key:
     its own). A key that contains another one contains its anchor: rows meet in ids and grams, and
     only candidates are compared as texts.
     """
-    lt = left.select(F.col(left_id).alias("l"), F.col(left_key).alias("lk")).filter("lk <> ''")
-    rt = right.select(F.col(right_id).alias("r"), F.col(right_key).alias("rk")).filter("rk <> ''")
+    # written once: keys are dear to make, and are read for anchors, grams and the comparison
+    lt = settled(left.select(F.col(left_id).alias("l"), F.col(left_key).alias("lk")).filter("lk <> ''"))
+    rt = settled(right.select(F.col(right_id).alias("r"), F.col(right_key).alias("rk")).filter("rk <> ''"))
     swapped = _contained(rt.toDF("l", "lk"), lt.toDF("r", "rk")).select(F.col("r").alias("l"), F.col("l").alias("r"))
     return _contained(lt, rt).unionByName(swapped).distinct().select(F.col("l").alias(left_id), F.col("r").alias(right_id))
 
@@ -40,10 +41,11 @@ def _contained(long: DataFrame, short: DataFrame) -> DataFrame:
     short = short.filter(F.length("rk") <= longest)
     least = F.array_min(F.transform(_grams(F.col("rk"), F.lit(GRAM)), lambda g: F.struct(F.xxhash64(g), g.alias("g"))))["g"]
     anchors = short.select("r", least.alias("g"), F.length(least).alias("n"))
-    sizes = [row["n"] for row in anchors.select("n").distinct().collect()]  # GRAM values at most
+    counts = {row["n"]: row["count"] for row in anchors.groupBy("n").count().collect()}  # GRAM values at most
     pairs = None
-    for n in sizes:
+    for n, count in counts.items():
         own = anchors.filter(F.col("n") == n).select("r", "g")
+        own = F.broadcast(own) if count <= FEW_PAIRS else own
         grams = long.filter(F.length("lk") >= n).select("l", F.explode(_grams(F.col("lk"), F.lit(n))).alias("g"))
         found = grams.join(own, "g").select("l", "r")
         pairs = found if pairs is None else pairs.unionByName(found)

@@ -76,21 +76,26 @@ def _fields(lines: list[str]) -> dict[str, str]:
 
 
 def _members(stream: Iterable[bytes]) -> Iterator[bytearray]:
-    """The inflated members of a gzip stream that comes in blocks."""
-    unzip, out = zlib.decompressobj(31), bytearray()
-    begun = False
+    """The inflated members of a gzip stream that comes in blocks; zlib gives BLOCK bytes at a time at most."""
+    unzip, out, begun = zlib.decompressobj(31), bytearray(), False
     for block in stream:
         while block:
-            out += unzip.decompress(block)
+            out += unzip.decompress(block, BLOCK)
             begun = True
             if not unzip.eof:
-                break
+                block = unzip.unconsumed_tail
+                continue
             block = unzip.unused_data
             if out:  # an empty member only pads
                 yield out
             unzip, out, begun = zlib.decompressobj(31), bytearray(), False
-    if begun:
-        raise ValueError("the archive ends inside a member")
+    while begun and not unzip.eof:  # what zlib still holds
+        more = unzip.decompress(b"", BLOCK)
+        out += more
+        if not more and not unzip.eof:
+            raise ValueError("the archive ends inside a member")
+    if out:
+        yield out
 
 
 def read_records(stream: Iterable[bytes]) -> Iterator[Record]:
@@ -177,6 +182,8 @@ def archive_pages(pages: DataFrame, **options) -> DataFrame:
     Null html: an empty payload. Null urls: no target header. Of copies with the smallest page_id
     more than once, each such row is a response. A null page_id is written as an empty name and read
     back as null; if all of a group's ids are null, all are responses. Empty table: no record.
+    Archives aim at 32 MiB of payload; one of over 2 GiB, as a single longer page would need, can't be
+    read back by Spark's binary source.
     """
     spark = pages.sparkSession
     path = Scratch(spark, "warc").path("archives")

@@ -127,6 +127,9 @@ def test_warc_reader_checks():
     one = warc.member(warc.record(1, "u", b"payload", warc.digest(b"payload"), None))
     two = warc.member(warc.record(2, "u", b"payload", warc.digest(b"payload"), 1))
     data = one + warc.EMPTY_MEMBER + two
+    big = warc.member(warc.record(3, "u", b"\0" * 5_000_000, warc.digest(b"\0" * 5_000_000), None))
+    assert [len(r.http()[1]) for r in warc.read_records([big[:100], big[100:] + one])] == [5_000_000, 7]
+    assert [len(r.http()[1]) for r in warc.read_records([one, big])] == [7, 5_000_000]
     for step in (1, 7, 1 << 16):
         records = list(warc.read_records(data[i : i + step] for i in range(0, len(data), step)))
         assert [warc.read_page(r)[3:] for r in records] == [("response", None), ("revisit", 1)]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 #: Bytes of one generation of a worker's memo of pre-tokens, and of space-separated stretches (estimated).
-PIECES, STRETCHES = 80_000_000, 60_000_000
+PIECES, STRETCHES = 60_000_000, 200_000_000
 #: Characters of text that are encoded together.
 BLOCK = 2_000_000
 
@@ -174,7 +174,7 @@ class Memo:
     """
 
     #: The longest key that is kept, and the bytes that an entry and each of its key's characters are taken to need.
-    LONGEST, ENTRY, CHARACTER = 64, 200, 8
+    LONGEST, ENTRY, CHARACTER = 64, 150, 8
 
     _all: weakref.WeakSet = weakref.WeakSet()
     _owner: str | None = None

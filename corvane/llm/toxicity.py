@@ -150,7 +150,8 @@ def induce_lexicon(texts: list[str | None], y: np.ndarray, most: int, least: int
         strength = ratio - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if strength > 0:
             out.append((strength, f))
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:most]
+    strong = [x for x in out if x[0] > 1.0]  # few short texts may have none
+    return sorted(strong or out, key=lambda x: (-x[0], x[1]))[:most]
 
 
 def make_voters(lexicon: list[tuple[float, str]], docs: list[set[str]], y: np.ndarray) -> list[Voter]:

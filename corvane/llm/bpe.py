@@ -187,13 +187,19 @@ class Memo:
     def forget(self) -> None:
         self.young, self.old, self.held, self.passing = {}, {}, 0, []
 
-    def fill(self, keys: Iterable, make) -> dict:
-        """The young generation, in which all the keys are then found."""
-        if Memo._owner != self.owner:
+    @staticmethod
+    def claim(owner: str) -> None:
+        """The worker serves this operator now: the memos of others go, and free memory goes back."""
+        if Memo._owner != owner:
             for other in list(Memo._all):
-                if other.owner != self.owner:
+                if other.owner != owner:
                     other.forget()
-            Memo._owner = self.owner
+            Memo._owner = owner
+            pa.default_memory_pool().release_unused()
+
+    def fill(self, keys: Iterable, make) -> dict:
+        """The young generation, in which all the keys are then found."""
+        Memo.claim(self.owner)
         for k in self.passing:
             del self.young[k]
         self.passing = []

@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import Memo
 from .shared import Scratch, shuffle_partitions
 
 #: Words that a repeated run must have.
@@ -63,6 +64,7 @@ def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        Memo.claim("linededup")
         names = [x.split()[0] for x in PLACED.split(", ")]
 
         def out(rows: list[tuple], hashes: list[bytes]) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import read_ranks
+from .bpe import Memo, read_ranks
 from .shared import Scratch
 
 CAPACITY, END_ID = 1024, 2
@@ -69,11 +69,14 @@ def _encoders(json_path: str, ranks_path: str, pattern: str) -> tuple[Callable[[
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(json_path)
     ranks = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
 
+    @lru_cache(1)
+    def whole() -> Tokenizer:  # only where a text asks for it
+        return Tokenizer.from_file(json_path)
+
     def by_library(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def by_ranks(text: str) -> bytes:
         try:
@@ -106,6 +109,7 @@ def tokenize(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_
     """The pieces of each document, numbered by length inside their partition (part, rank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.claim("packing")
         (by_ranks, by_library), special = _encoders(json_path, ranks_path, pattern), _special(json_path)
         part, seen, end = TaskContext.get().partitionId(), {}, end_id.to_bytes(4, "little")
         for batch in batches:

@@ -74,6 +74,14 @@ def test_charsets(charset, text):
     assert readers.decode_bytes(text.encode(charset)) == text
 
 
+@pytest.mark.parametrize(("charset", "text"), [
+    ("latin-1", "AUF!! DIE!! SCHÄIE!! KEIT!! ÄSCH!! DER!!"), ("latin-1", "Äsch Äsch Äsch"), ("latin-1", "Ößen ertzber in."), ("latin-1", "CRÉÉ EN MAI"), ("latin-1", "ENEINÄBER!! Årene"),
+    ("gb18030", "用Python写的书，共3册"), ("big5", "用Python寫的書，共3冊"), ("shift_jis", "Pythonで書いた本、全3巻"), ("big5", "1. 男\n2. 女"), ("gb18030", "Vitamin C，Vitamin D"), ("euc-kr", "그 책 A권"),
+])
+def test_ideographs_in_latin_words(charset, text):
+    assert readers.decode_bytes(text.encode(charset)) == text
+
+
 def test_undecodable_bytes():
     assert readers.decode_bytes(None) == "" and readers.decode_bytes(b"\xff\xfe\x00") and readers.decode_bytes(b"plain") == "plain"
 

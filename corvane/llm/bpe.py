@@ -10,6 +10,7 @@ pre-tokens, so very long ones are no trap, and short ones share the cost of the
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import weakref
 from collections.abc import Iterable, Iterator
@@ -166,6 +167,10 @@ class Merger:
         return [x if isinstance(x, bytes) else x.to_bytes(4, "little") for x in out]
 
 
+#: Gives the C library's free memory back, where it can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 class Memo:
     """Two generations of a dict: when the young one holds ``most`` bytes, it takes the old one's place.
 
@@ -196,6 +201,8 @@ class Memo:
                     other.forget()
             Memo._owner = owner
             pa.default_memory_pool().release_unused()
+            if _TRIM:
+                _TRIM(0)
 
     def fill(self, keys: Iterable, make) -> dict:
         """The young generation, in which all the keys are then found."""

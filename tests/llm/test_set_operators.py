@@ -247,6 +247,13 @@ def test_line_dedup(spark, monkeypatch, partition):
     assert left == {i for i, (text, n, _) in want.items() if not n or text.strip()}
 
 
+def test_emptied_documents_go_without_a_second_call(spark):
+    df = spark.createDataFrame([(i, "one two three four five\nsix seven eight nine ten") for i in range(3)], "doc_id long, text string")
+    kept = linededup.dedup_lines(df, drop_emptied=True).withColumn("n_chars", F.length("text")).select("doc_id", "text", "n_chars")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and [tuple(r) for r in kept.collect()] == [(0, "one two three four five\nsix seven eight nine ten", 48)]
+
+
 def test_line_dedup_of_a_very_long_line(spark):
     rows = [(1, "w " * 200_000), (2, "own words\n" + "w " * 200_000)]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

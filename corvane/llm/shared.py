@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.scratch import small_batches
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
@@ -23,18 +25,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Bytes of an Arrow batch: whole texts go to Python, so that few long ones are held at once.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lets the session's Arrow batches hold BATCH_BYTES at most; a smaller limit stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
-
-
 class Scratch:
     """Tables written to the shared folder: each cuts the lineage and survives lost executors."""
 

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -158,6 +160,23 @@ def test_containment(spark, monkeypatch, few):
     assert catalog.containment_pairs(left.limit(0), right, "a", "ka", "b", "kb").count() == 0 == catalog.containment_pairs(left, right.limit(0), "a", "ka", "b", "kb").count()
 
 
+@pytest.mark.parametrize("chars", [0, 10**9])
+def test_containment_of_long_keys(spark, monkeypatch, chars):
+    monkeypatch.setattr(catalog, "FEW_CHARS", chars)
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("abcdé字😀") for _ in range(n)) for n in (3, 7, 8, 9, 30, 400, 20_000, 250_000)]
+    longs = [(i, "".join(rng.choice("abcdé字😀") for _ in range(50)) + k + "x") for i, k in enumerate(keys)] + [(20, "x"), (21, "ab"), (22, keys[5])]
+    shorts = list(enumerate([*keys, "ab", "字"]))
+    got = {tuple(r) for r in catalog.containment_pairs(spark.createDataFrame(longs, "a long, ka string"), spark.createDataFrame(shorts, "b long, kb string"), "a", "ka", "b", "kb").collect()}
+    assert got == {(i, j) for i, x in longs for j, y in shorts if x in y or y in x}
+
+
+def test_grams_are_handed_on_in_small_batches(spark):
+    df = spark.createDataFrame([(i, "".join(chr(100 + (i * j * j + j) % 5000) for j in range(60_000))) for i in range(12)], "l long, lk string")
+    sizes = [r.n for r in catalog._grams(df.coalesce(1), [8], None).mapInPandas(lambda parts: (p.iloc[:1].assign(n=len(p))[["n"]] for p in parts), "n long").collect()]
+    assert max(sizes) <= catalog.MOST + 60_000 and len(sizes) > 1
+
+
 def test_status_and_last_wins(spark):
     c = spark.createDataFrame([(1,), (2,)], "id long")
     flags = {"A": spark.createDataFrame([(1,), (1,)], "id long"), "B": spark.createDataFrame([(1,)], "id long")}
